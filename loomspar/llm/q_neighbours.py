@@ -1,2 +1,16 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries of problem 5: the most similar blocks of every block."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomspar.llm.neighbours import nearest_pairs
+from loomspar.session import table
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_pairs(table(spark, folder, "building_blocks"), "id", "fp").select("id_a", "id_b")
+
+
+QUERIES = {"p5_found": p5_found}
+SQL: dict[str, str] = {}
