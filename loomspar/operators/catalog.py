@@ -59,11 +59,9 @@ def merge_catalogs(rows: DataFrame, key: str, ident: str, provider: str, priorit
     merged = first.join(listed, "key").select("key", F.col("p.id").alias("id"), F.col("p.provider").alias("provider"), F.col("p.priority").alias("priority"), F.col("s.origin").alias("sources"))
     n = F.row_number().over(Window.partitionBy("id").orderBy("priority", "key")) - 1
     renamed = merged.withColumn("n", n).withColumn("new_id", F.when(F.col("n") > 0, F.concat("id", F.lit("__"), F.col("n").cast("string"))).otherwise(F.col("id")))
-    own, new = origin_token(F.col("provider"), F.col("id")), origin_token(F.col("provider"), F.col("new_id"))
-    return renamed.select(
-        "key", F.col("new_id").alias("id"), "provider", "priority",
-        F.array_join(F.transform("sources", lambda s: F.when(s == own, new).otherwise(s)), ";").alias("sources"), F.size("sources").alias("n_sources"),
-    )
+    tokens = renamed.withColumns({"own": origin_token(F.col("provider"), F.col("id")), "new": origin_token(F.col("provider"), F.col("new_id"))})
+    joined = tokens.withColumn("joined", F.array_join(F.transform("sources", lambda s: F.when(s == F.col("own"), F.col("new")).otherwise(s)), ";"))
+    return joined.select("key", F.col("new_id").alias("id"), "provider", "priority", F.col("joined").alias("sources"), F.size("sources").alias("n_sources"))
 
 
 def merge_stats(rows: DataFrame, merged: DataFrame, key: str) -> DataFrame:

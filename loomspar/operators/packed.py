@@ -241,6 +241,8 @@ def parse(text: str | None, model: Model) -> tuple[list[str], set[str], list[str
     text = text.strip()
     if text.lower() in NOTHING:
         return [], set(), []
+    if not any(c.isalnum() for c in WORDS.sub(" ", text)) and not any(c in "\"'" for c in text):
+        return [], set(), []
     tokens = as_list(text)
     if tokens is not None:
         inside = [unquote(t, True) if t[0] in "\"'" else t for t in tokens]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}  # the folder of a local session, removed at exit
+atexit.register(lambda: [shutil.rmtree(d, ignore_errors=True) for d in _LOCAL.values()])
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session with AQE and UTC; extra settings as keyword arguments with ``__`` for dots."""
     builder = (
@@ -36,8 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        where = os.path.join(tempfile.gettempdir(), f"loomspar-checkpoints-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="loomspar-"))
     return where
 
 
