@@ -220,10 +220,17 @@ def block_draws(mixes: DataFrame, items: DataFrame, block_rows: int = BLOCK_ROWS
 
 
 def draw_mix(mixes: DataFrame, items: DataFrame, block_rows: int = BLOCK_ROWS, shard_size: int = SHARD_SIZE, seed: int = 17) -> DataFrame:
-    """The mix itself: ``(mix_id, shard, pos, dataset_pos, item_id)``, ``pos`` being the random order in the shard."""
-    w = Window.partitionBy("source", "split", "block").orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id")
-    ranked = placed_items(items, block_rows).withColumn("rank", F.row_number().over(w) - 1)
+    """The mix itself: ``(mix_id, shard, pos, dataset_pos, item_id)``, ``pos`` being the random order in the shard.
+
+    Blocks and shards are arrays of bounded size: a run is cut out of its block where they meet, and
+    a shard is put in order where its runs meet, so records are moved once, as plain ids.
+    """
+    ranked = F.array_sort(F.collect_list(F.struct(F.xxhash64("item_id", F.lit(seed)).alias("h"), "item_id")))
+    blocks = placed_items(items, block_rows).groupBy("source", "split", "block").agg(ranked.alias("b")).select("source", "split", "block", F.col("b.item_id").alias("ids"))
     runs = block_draws(mixes, items, block_rows, shard_size, seed)
-    drawn = runs.join(ranked, ["source", "split", "block"]).where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    local = Window.partitionBy("mix_id", "shard").orderBy(F.xxhash64("mix_id", "shard", "item_id", "pass", "dataset_pos", F.lit(seed)), "item_id", "pass", "dataset_pos")
-    return drawn.select("mix_id", "shard", (F.row_number().over(local) - 1).alias("pos"), "dataset_pos", "item_id")
+    cut = F.slice("ids", F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo")).cast("int"))
+    taken = runs.join(blocks, ["source", "split", "block"]).select("mix_id", "shard", F.struct("dataset_pos", "pass", cut.alias("ids")).alias("run"))
+    place = lambda r, i: F.xxhash64("mix_id", "shard", i, r["pass"], r["dataset_pos"], F.lit(seed))
+    each = lambda r: F.transform(r["ids"], lambda i: F.struct(place(r, i).alias("h"), i.alias("item_id"), r["pass"].alias("pass"), r["dataset_pos"].alias("dataset_pos")))
+    shards = taken.groupBy("mix_id", "shard").agg(F.collect_list("run").alias("runs")).select("mix_id", "shard", F.sort_array(F.flatten(F.transform("runs", each))).alias("d"))
+    return shards.select("mix_id", "shard", F.posexplode("d").alias("pos", "d")).select("mix_id", "shard", "pos", F.col("d.dataset_pos").alias("dataset_pos"), F.col("d.item_id").alias("item_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspar.llm.mixing import block_draws, mix_report
+from loomspar.llm.mixing import block_draws, draw_mix, mix_report
 from loomspar.session import table
 
 MIX = ["mix_id", "stage", "datasets", "weights", "num_samples_per_epoch_per_gpu", "max_repeats", "ingested_at"]
@@ -31,6 +31,11 @@ def p1_draws(spark: SparkSession, folder: str) -> DataFrame:
     return block_draws(*_tables(spark, folder))
 
 
+def p1_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of every mix, by output shard in its random order."""
+    return draw_mix(*_tables(spark, folder))
+
+
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _PATH = "array_to_string(list_filter(string_split(" + _TRIM + ", '/'), lambda s: s NOT IN ('', '.')), '/')"
 _SPLIT = f"""CASE WHEN lower({_TRIM}) IN ('train', 'training', 'trn') THEN 'train'
@@ -64,4 +69,4 @@ SQL = {
   f AS (SELECT *, CAST(least(wish, cap - least(before, cap)) AS BIGINT) AS drawn FROM c)
   SELECT mix_id, CAST(dataset_pos AS INT) AS dataset_pos, source, n_records, round(target, 3) AS target, drawn, round(CASE WHEN sum(drawn) OVER (PARTITION BY mix_id) > 0 THEN drawn / sum(drawn) OVER (PARTITION BY mix_id) END, 6) AS share_reached FROM f""",
 }
-QUERIES = {"p1_found": p1_found, "p1_shares": p1_shares, "p1_draws": p1_draws}
+QUERIES = {"p1_found": p1_found, "p1_shares": p1_shares, "p1_draws": p1_draws, "p1_mix": p1_mix}

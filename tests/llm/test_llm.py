@@ -186,3 +186,20 @@ def test_links_of_near_duplicates_against_brute_force(spark):
     want = {(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
     got = {(r.a, r.b) for r in residue.near_classes(marked).collect()}
     assert got <= want and len(got) >= 0.9 * len(want) > 0 and len(of) == 160
+
+
+def test_query_draws_the_records_of_the_whole_tables(spark, tmp_path):
+    from loomspar.llm.queries import QUERIES
+
+    n = 9000  # source a spans several blocks of the default size
+    rows = [(k, "./a/" if k < n else "b", "Training", 0) for k in range(n + 40)]
+    spark.createDataFrame(rows + rows[:50], ITEM).write.parquet(str(tmp_path / "dataset_items.parquet"))
+    mixes = [(1, "train", ["a", "b"], [0.9, 0.1], 20000, 3, None, 0), (2, "TRAIN", ["a"], None, 5000, 1, None, 0)]
+    spark.createDataFrame(mixes, MIX).withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp_ntz")).write.parquet(str(tmp_path / "mixed_dataset_params.parquet"))
+    got = QUERIES["p1_mix"](spark, str(tmp_path)).cache()
+    count = {(r.mix_id, r.dataset_pos): r["count"] for r in got.groupBy("mix_id", "dataset_pos").count().collect()}
+    assert count == {(1, 0): 18000, (1, 1): 120, (2, 0): 5000}
+    times = {(r.mix_id, r.item_id): r["count"] for r in got.groupBy("mix_id", "item_id").count().collect()}
+    assert {t for (m, i), t in times.items() if m == 1} == {2, 3} and all(t == (2 if i < n else 3) for (m, i), t in times.items() if m == 1) and {t for (m, _), t in times.items() if m == 2} == {1}
+    shard = [r.item_id for r in got.where("mix_id = 1 and shard = 3").orderBy("pos").collect()]
+    assert [r.pos for r in got.where("mix_id = 1 and shard = 3").orderBy("pos").collect()] == list(range(len(shard))) and shard != sorted(shard)
