@@ -57,6 +57,30 @@ def node_triangles(spark, d):
     return ops.triangles(o, "a", "b")
 
 
+def _part_links(spark, d):
+    """Every line as a link of its part (even number) and its supplier (odd number), by their real keys."""
+    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_suppkey") * 2 + 1).alias("src"), (F.col("l_partkey") * 2).alias("dst")).distinct()
+
+
+def whole_components(spark, d):
+    """Components of the graph of all lines."""
+    return ops.components(_part_links(spark, d), "dst", "src")
+
+
+def whole_subgraph(spark, d):
+    """The graph of all lines, with all parts and the suppliers of positive balance."""
+    links = _part_links(spark, d)
+    kept = table(spark, d, "supplier").where("s_acctbal > 0").select((F.col("s_suppkey") * 2 + 1).alias("node")).union(table(spark, d, "part").select(F.col("p_partkey") * 2)).distinct()
+    return ops.induced_subgraph(links, links.select("g").distinct().crossJoin(kept), "g", "node", "src", "dst")
+
+
+def whole_triangles(spark, d):
+    """Triangles of the parts that stand in one order, over all orders."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    pairs = li.withColumnRenamed("l_partkey", "a").join(li.withColumnRenamed("l_partkey", "b"), "l_orderkey").where("a < b")
+    return ops.triangles(pairs, "a", "b")
+
+
 def demeaned(spark, d):
     w = Window.partitionBy("l_orderkey")
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q")).select("l_orderkey", "l_linenumber", F.round(F.col("q") - F.avg("q").over(w), 8).alias("q0"))
@@ -92,7 +116,7 @@ def conditional_sizes(spark, d):
     return h.select("a", "r", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("a")), 9).alias("p"))
 
 
-QUERIES = {f.__name__: f for f in (order_segments, softmax_weights, argmax_rows, tree_totals, tree_paths, customer_components, kept_subgraph, node_triangles, demeaned, density_validity, bandwidths, size_histogram, conditional_sizes)}
+QUERIES = {f.__name__: f for f in (order_segments, softmax_weights, argmax_rows, tree_totals, tree_paths, customer_components, kept_subgraph, node_triangles, whole_components, whole_subgraph, whole_triangles, demeaned, density_validity, bandwidths, size_histogram, conditional_sizes)}
 _TREE = "WITH RECURSIVE t AS (SELECT event_id AS node, CASE WHEN event_id > 1 THEN event_id // 2 END AS parent, CAST(event_type = 'purchase' AS BIGINT) AS v FROM events WHERE event_id > 0), a AS (SELECT node, node AS anc, 0 AS depth FROM t UNION ALL SELECT a.node, t.parent, depth + 1 FROM a JOIN t ON t.node = a.anc WHERE t.parent IS NOT NULL AND t.parent > 0)"
 _DENS = "".join(f", m{i} AS (SELECT {', '.join(lv)}, avg(x) AS mu, stddev_pop(x) AS sd FROM l GROUP BY {', '.join(lv)} HAVING count(x) > 50)" for i, lv in enumerate(LEVELS))
 SQL = {
