@@ -80,9 +80,13 @@ NEED = (
     r"|\bno script support\b|\bis off\b|\bcannot start\b|\bturn off\b|\baktivier\w*|\bbenötigt\b|\berforderlich\b|\bdeaktiviert\b|\beinschalten\b|\bactive[rz]?\b|\bactivez\b|\bdésactivé\b|\bnécessaire\b|\bactiv[ae]r?\b|\bhabilit\w*|\bdesactivado\b|\bnecesita\b|启用|开启|打开|需要|禁用|请启用)"
 )
 SCRIPTS, NEEDED = re.compile(SCRIPT, re.I), re.compile(NEED, re.I)
-# what a text that only speaks of scripts does: it reports on a thing of its own
-SPEAKS = re.compile(
-    r"\b(?:not needed|n[’']est pas nécessaire|irrelevant|nicht (?:nötig|erforderlich)|no es necesario|static image|attached|our viewer|the crawler|crawler|fusion|script (?:de|reads|liest|lit)|we (?:ordered|ran|used|wrote)|was (?:not found in the order|sent)|order book|order\w* elsewhere|anderswo|ailleurs|vendor portal|der lieferant|le fournisseur|el proveedor|freezer|for readers|was withdrawn|sign out)\b",
+# what makes a sentence content by its own structure: a first person who tells what they did, a script that acts, a need that is denied, a quantity
+CONTENT = re.compile(
+    r"\b(?:we|i)\s+(?!(?:noticed|detected|encountered|needed|failed|tried)\b)(?:\w+ed|ran|wrote|sent|took|found|bought|got|made|did|saw)\b|\b(?:wir|ich) haben?\b(?!.*\b(?:festgestellt|bemerkt|erkannt)\b)|\bnous avons\b(?! (?:détecté|constaté|remarqué)\b)|\bhemos\b(?! (?:detectado|notado)\b)"
+    r"|\b(?:script|skript)\s+(?!(?:is|has|was|must|needs? to be|requires? to be)\b)(?:[a-z]+s|liest|lit|lee|de)\b"
+    r"|\b(?:not|no longer) (?:needed|required|necessary)\b|\bno need\b|\birrelevant\b|\bnicht (?:nötig|erforderlich|notwendig)\b|\bpas (?:nécessaire|requise?)\b|\bno (?:es|hace) (?:necesario|falta)\b|无需|不需要|不必"
+    r"|(?<!not )(?<!n[’']t )\b(?:works?|runs?|loads?|opens?|readable|usable)(?: \w+){0,3} without\b"
+    r"|\d\s?(?:°\s?C|[mµ]?l\b|[mkµ]?g\b|[mµ]?mol\b|equiv\b|ppm\b)",
     re.I,
 )
 
@@ -91,7 +95,7 @@ ERROR = re.compile(
     rf"^\W*the upstream\b.*\bdid not (?:answer|respond)\b|^\W*(?:(?:http(?:/\d\.\d)?|status|error|fehler|erreur|código|http status|error code|code)\W*)*[45]\d\d\W+{STATUS}\b"
     rf"|^\W*{STATUS}\W*(?:\(?[45]\d\d\)?)?\W*$|^\W*(?:http\W*)?(?:status|error|fehler|erreur|http)\W*(?:code\W*)?[45]\d\d\b.{{0,60}}$"
     r"|^\W*the requested url\b.*\bnot found|^\W*(?:this|that|the) (?:page|record|item|document|catalog entry|entry|file|structure file|route viewer|resource|url|site|content)(?: at this address| you (?:requested|asked for|are looking for))?[\w/: -]{0,40}\b(?:not be (?:found|loaded|displayed|opened)|cannot be (?:found|displayed|loaded|opened|shown)|(?:does|did) not exist|(?:is|was) not (?:available|found)|is (?:restricted|unavailable|no longer available|temporarily unavailable)|failed to (?:open|load)|took too long|has (?:moved (?:without|permanently|to a new (?:address|location|page|url))|been (?:moved|removed|deleted))|could not be)"
-    r"|^\W*(?:something|an error) (?:went wrong|(?:has )?occurred)\b|^\W*(?:access|permission) (?:denied|to .{0,40} (?:is )?denied)\W*$|^\W*you (?:do not|don[’']t) have (?:permission|access)\b|^\W*your (?:address|ip|session|request|browser) (?:has|have|is|was)\b.{0,80}$"
+    r"|^\W*(?:something|an error) (?:went wrong|(?:has )?occurred)\b|^\W*(?:access|permission) (?:denied|to .{0,40} (?:is )?denied)\W*$|^\W*you (?:do not|don[’']t) have (?:permission|access)\b|^\W*your (?:address|ip|session|request|browser) (?:has|have|is|was)\b.*$"
     r"|^\W*whitelabel error page|^\W*this application has no explicit mapping|^\W*(?:database|server|connection|application|fatal|runtime|proxy) error\b|^\W*error establishing a database|^\W*traceback \(most recent call last\)|^\W*(?:uncaught |unhandled )?(?:[A-Z]\w*)?(?:error|exception): |^\W*file \"[^\"]+\", line \d+"
     r"|^\W*(?:checking your browser|verify (?:that )?you are (?:a )?human|are you a robot|please complete the (?:captcha|security check)|one moment, please|just a moment)|^\W*you sent \d+ requests|^\W*rate limit|^\W*(?:the )?(?:site|catalog|page|server) is (?:currently )?(?:down|under|unavailable|offline)"
     r"|^\W*(?:seite|datei|eintrag|dokument|objekt) nicht gefunden|^\W*(?:der|die|das) (?:eintrag|seite|datensatz|angeforderte|gesuchte)\b.{0,50}(?:existiert nicht|nicht gefunden|verschoben|wurde nicht)|^\W*interner serverfehler|^\W*zugriff verweigert|^\W*dienst nicht verfügbar|^\W*ein fehler ist aufgetreten"
@@ -102,8 +106,8 @@ ERROR = re.compile(
 )
 COURTESY = re.compile(
     r"^\W*(?:thank you|thanks|danke|merci|gracias|谢谢|loading|lädt|chargement|cargando|加载中|oops|sorry|whoops|entschuldigung|désolé|lo sentimos|error|fehler|erreur|attention|warning|note|ok|we use cookies|dismiss|close|retry|reload|refresh|continue|go back)\W*$"
-    r"|^\W*(?:code|error id|error|reference|ref|ray id|ray|incident|request id|kennung|référence|referencia|trace|id)\W*[\w-]*\d[\w-]*\W*$|^\W*request [\w-]+ was logged\b|^\W*(?:please )?(?:try|log in|sign in|log on|refresh|reload|check|go back|return|update|contact|come back|search|use|click|wait|close|clear|turn|switch|bitte|retour|revenez|veuillez|vuelva|intente|inténtelo|zurück|versuchen|请)\b.{0,110}$"
-    r"|^\W*(?:if (?:nothing happens|this (?:keeps|error|problem)|you (?:believe|think|are)))\b.{0,110}$|^\W*(?:this takes up to|this may take|you will be redirected|some parts of|it works best|to continue|your settings)\b.{0,110}$|^\W*(?:请返回|请稍后|返回)\S{0,30}$|^\W*(?:error )?(?:id|ray id)\b.{0,40}$",
+    r"|^\W*(?:code|error id|error|reference|ref|ray id|ray|incident|request id|kennung|référence|referencia|trace|id)\W*[\w-]*\d[\w-]*\W*$|^\W*request [\w-]+ was logged\b|^\W*(?:please|por favor)\b.*$|^\W*(?:try|log in|log out|sign in|sign out|log on|enable|allow|activate|refresh|reload|check|go back|return|update|contact|come back|search|use|click|wait|close|clear|turn|switch|bitte|retour|revenez|veuillez|vuelva|intente|inténtelo|zurück|versuchen|请)\b.*$"
+    r"|^\W*(?:if (?:nothing happens|this (?:keeps|error|problem)|you (?:believe|think|are)))\b.*$|^\W*(?:this takes up to|this may take|you will be redirected|some parts of|it works best|to continue|your settings)\b.*$|^\W*(?:请返回|请稍后|返回)\S*$|^\W*(?:error )?(?:id|ray id)\b.*$",
     re.I,
 )
 NAV_WORDS = set(
@@ -119,11 +123,11 @@ def without_code(text: str) -> str:
 
 
 def is_navigation(line: str) -> bool:
-    """A short line of nothing but the words of menus and page ends."""
-    if len(line) > 120 or line.endswith((".", "!", "?")):
+    """A line of nothing but the words of menus and page ends."""
+    if line.endswith((".", "!", "?")):
         return False
     words = WORD.findall(line.lower())
-    return not words and not line.strip("|·•-–—*=_#> ") or 0 < len(words) <= 12 and all(w in NAV_WORDS for w in words)
+    return not words and not line.strip("|·•-–—*=_#> ") or bool(words) and all(w in NAV_WORDS for w in words)
 
 
 def core_sentences(text: str) -> Iterator[str]:
@@ -154,17 +158,25 @@ def has_filler(plain: str) -> bool:
     return bool(FILLER_HINT.search(low)) and any(FILLER_HINT.search(s.lower()) and FILLER.search(s) for s in core_sentences(plain))
 
 
+def is_notice(sentence: str) -> bool:
+    return bool(SCRIPTS.search(sentence) and NEEDED.search(sentence))
+
+
 def is_page(plain: str) -> bool:
-    """Whether the sentences are those of an error page or notice, and no others."""
+    """Whether the sentences are those of an error page or notice, and no others; clauses apart from errors count each by itself."""
     strong = False
     for s in core_sentences(plain):
-        if SPEAKS.search(s):
+        if CONTENT.search(s):
             return False
         rest = LEAD.sub("", s)
-        if ERROR.search(s) or rest != s and ERROR.search(rest) or len(s) <= 160 and SCRIPTS.search(s) and NEEDED.search(s):
+        if ERROR.search(s) or rest != s and ERROR.search(rest):
             strong = True
-        elif not COURTESY.search(s):
-            return False
+            continue
+        for clause in filter(None, map(str.strip, re.split("[;；]", s))):
+            if is_notice(clause):
+                strong = True
+            elif not COURTESY.search(clause):
+                return False
     return strong
 
 

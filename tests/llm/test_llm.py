@@ -203,3 +203,23 @@ def test_query_draws_the_records_of_the_whole_tables(spark, tmp_path):
     assert {t for (m, i), t in times.items() if m == 1} == {2, 3} and all(t == (2 if i < n else 3) for (m, i), t in times.items() if m == 1) and {t for (m, _), t in times.items() if m == 2} == {1}
     shard = [r.item_id for r in got.where("mix_id = 1 and shard = 3").orderBy("pos").collect()]
     assert [r.pos for r in got.where("mix_id = 1 and shard = 3").orderBy("pos").collect()] == list(range(len(shard))) and shard != sorted(shard)
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("Our viewer requires JavaScript. Please enable it and reload.", "page"), ("403 Forbidden\nPlease sign out and sign in again.", "page"), ("JavaScript is off. " + "Please turn it on in your browser" + " and reload the page" * 9 + ".", "page"),
+        ("You must enable JavaScript to use this site" + ", its catalog and its routes" * 7 + ".", "page"), ("Home About Contact Help Search Login Register Sitemap Privacy Terms Imprint Cookies Blog News FAQ\n404 Not Found", "page"),
+        ("JavaScript is not required to read this report.", None), ("We enabled JavaScript in the viewer and repeated the measurement.", None), ("The script needs 3 h on one node and reads all fingerprints.", None), ("404 Not Found\nPlease stir 5 g of the acid in 20 mL of water.", None),
+    ],
+)
+def test_pages_are_told_by_the_structure_of_their_sentences(text, label):
+    assert rules.label(text) == label
+
+
+def test_recall_on_other_phrasings():
+    import pathlib
+    import runpy
+
+    texts = runpy.run_path(str(pathlib.Path(__file__).with_name("phrasings.py")))
+    assert sum(rules.label(t) == "page" for t in texts["PAGES"]) >= 15 and not any(rules.label(t) for t in texts["CONTENT"])
