@@ -5,26 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the usual names of the splits
-SPLIT_NAMES = {
-    "train": ("train", "training", "trn"),
-    "val": ("val", "valid", "validation", "validate", "dev", "development"),
-    "test": ("test", "testing", "tst"),
-}
-
-
-def trimmed(c: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
-def split_name(c: Column) -> Column:
-    """``train``, ``val`` or ``test`` for any spelling of a split's usual names, else null."""
-    plain = F.lower(trimmed(c))
-    out = F.lit(None).cast("string")
-    for name, spellings in SPLIT_NAMES.items():
-        out = F.when(plain.isin(*spellings), name).otherwise(out)
-    return out
+from loomspar.functions import SPLIT_NAMES, split_name, trimmed  # noqa: F401
 
 
 def path_key(c: Column) -> Column:

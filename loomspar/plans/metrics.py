@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspar.functions import split_name, trimmed
 from loomspar.operators import metrics as ops
 from loomspar.session import table
 
@@ -41,7 +42,10 @@ def cascade_counts(spark, d):
 
 
 def uniqueness_novelty(spark, d):
-    """Distinct share, and the share of distinct ligands outside the training split, per split."""
+    """Distinct share, and the share of distinct ligands outside the training split, per split.
+
+    As its SQL has it: every delivered row, splits only where spelled train, val or test; see whole_uniqueness_novelty.
+    """
     i = table(spark, d, "dataset_items").where(F.col("ligand_smiles").isNotNull() & F.col("split").isin("train", "val", "test")).select("split", "ligand_smiles")
     known = i.where("split = 'train'").select("ligand_smiles").distinct().withColumn("known", F.lit(1))
     per = i.groupBy("split", "ligand_smiles").agg(F.count(F.lit(1)).alias("n")).join(known, "ligand_smiles", "left")
@@ -49,6 +53,7 @@ def uniqueness_novelty(spark, d):
 
 
 def split_precision_recall(spark, d):
+    """Pockets of test that stand in train, as its SQL has it: splits only where spelled so; see whole_precision_recall."""
     i = table(spark, d, "dataset_items").where(F.col("pocket_seq").isNotNull())
     a, b = i.where("split = 'train'").select("pocket_seq").distinct(), i.where("split = 'test'").select("pocket_seq").distinct()
     both = b.join(a, "pocket_seq", "left_semi").agg(F.count(F.lit(1)).alias("n_both"))
@@ -56,6 +61,29 @@ def split_precision_recall(spark, d):
     return n.select("n_both", F.round(F.col("n_both") / F.col("n_sample"), 9).alias("precision"), F.round(F.col("n_both") / F.col("n_ref"), 9).alias("recall"))
 
 
+def _items(spark, d):
+    """Each item once, as last delivered, by the usual name of its split; ligand and pocket without layout, null where blank."""
+    i = table(spark, d, "dataset_items").where("item_id is not null").groupBy("item_id").agg(F.max(F.struct("ingested_at", "split", "ligand_smiles", "pocket_seq")).alias("r")).select("r.*")
+    pocket = F.upper(F.regexp_replace("pocket_seq", r"\P{L}+", ""))
+    return i.select(split_name(F.col("split")).alias("split"), F.nullif(trimmed(F.col("ligand_smiles")), F.lit("")).alias("ligand"), F.nullif(pocket, F.lit("")).alias("pocket")).where("split is not null")
+
+
+def whole_uniqueness_novelty(spark, d):
+    """Distinct share, and the share of distinct ligands outside the training split, over all items of any spelling of a split."""
+    i = _items(spark, d).where("ligand is not null")
+    per = i.groupBy("ligand").pivot("split", ["train", "val", "test"]).agg(F.count(F.lit(1)))
+    each = per.select(F.col("train").isNotNull().alias("known"), F.explode(F.create_map(*[x for s in ("train", "val", "test") for x in (F.lit(s), F.col(s))])).alias("split", "n")).where("n > 0")
+    return each.groupBy("split").agg(F.round(F.count(F.lit(1)) / F.sum("n"), 9).alias("uniqueness"), F.round(F.count_if(~F.col("known")) / F.count(F.lit(1)), 9).alias("novelty"))
+
+
+def whole_precision_recall(spark, d):
+    """Pockets of test that stand in train, over all items of any spelling of a split."""
+    per = _items(spark, d).where("pocket is not null").groupBy("pocket").agg(F.max(F.col("split") == "train").alias("a"), F.max(F.col("split") == "test").alias("b"))
+    n = per.agg(F.count_if(F.col("a") & F.col("b")).alias("n_both"), F.count_if("a").alias("n_ref"), F.count_if("b").alias("n_sample"))
+    share = lambda c: F.round(F.try_divide("n_both", c), 9)
+    return n.select("n_both", share(F.col("n_sample")).alias("precision"), share(F.col("n_ref")).alias("recall"))
+
+
 def category_histogram(spark, d):
     return table(spark, d, "routes").select(F.explode("building_block_providers").alias("provider")).groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
 
@@ -107,7 +135,7 @@ def flag_counts(spark, d):
     return v.groupBy("n_steps").agg(F.count_if(c).alias("n_valid"), F.count_if(~c).alias("n_invalid"), F.count_if(c.isNull()).alias("n_unknown"), F.when(known > 0, F.round(F.count_if(c) / known, 9)).alias("ratio"), F.bool_and(F.coalesce(c, F.lit(False))).alias("all_ok"))
 
 
-QUERIES = {f.__name__: f for f in (metric_roll_up, route_rates, bounded_lines, failing_column, cascade_counts, uniqueness_novelty, split_precision_recall, category_histogram, js_of_halves, js_of_top_bins, kl_of_halves, value_summary, series_correlation, pivot_counts, geometric_means, flag_counts)}
+QUERIES = {f.__name__: f for f in (metric_roll_up, route_rates, bounded_lines, failing_column, cascade_counts, uniqueness_novelty, split_precision_recall, whole_uniqueness_novelty, whole_precision_recall, category_histogram, js_of_halves, js_of_top_bins, kl_of_halves, value_summary, series_correlation, pivot_counts, geometric_means, flag_counts)}
 _H = "WITH h AS (SELECT floor(value) AS bin, count(*) FILTER (event_id % 2 = 0) AS p0, count(*) FILTER (event_id % 2 = 1) AS q0 FROM events WHERE value IS NOT NULL GROUP BY 1)"
 _JS = "SELECT round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)), 8) AS js FROM n"
 _num = lambda c: f"CASE WHEN coalesce(found, false) AND NOT isnan(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END"
