@@ -189,6 +189,7 @@ def mix_report(mixes: DataFrame, items: DataFrame, shard_size: int = SHARD_SIZE,
     """
     quotas = cut_lineage(entry_quotas(mix_entries(mixes), source_sizes(items)))  # one row per entry; the items are read once
     drawn = shard_quotas(quotas, shard_size, seed).groupBy("mix_id", "dataset_pos").agg(F.sum("n").alias("drawn"), F.count(F.lit(1)).alias("n_shards"))
+    drawn = cut_lineage(drawn)  # else a reader that needs only columns of the quotas would skip the draws
     rows = quotas.join(drawn, ["mix_id", "dataset_pos"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
     in_mix = F.sum("drawn").over(Window.partitionBy("mix_id"))
     return rows.select(

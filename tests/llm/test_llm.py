@@ -223,3 +223,14 @@ def test_recall_on_other_phrasings():
 
     texts = runpy.run_path(str(pathlib.Path(__file__).with_name("phrasings.py")))
     assert sum(rules.label(t) == "page" for t in texts["PAGES"]) >= 15 and not any(rules.label(t) for t in texts["CONTENT"])
+
+
+def test_the_tree_draws_for_the_cases_too(spark, tmp_path, monkeypatch):
+    from loomspar.llm import q_mixing
+
+    cuts = []
+    monkeypatch.setattr(mixing, "cut_lineage", lambda df, cut=mixing.cut_lineage: cuts.append(df.columns) or cut(df))
+    items(spark, {"a": 90}).write.parquet(str(tmp_path / "dataset_items.parquet"))
+    spark.createDataFrame([(1, "train", ["a"], None, 400, 2, None, 0)], MIX).write.parquet(str(tmp_path / "mixed_dataset_params.parquet"))
+    assert [tuple(r) for r in q_mixing.p1_found(spark, str(tmp_path)).collect()] == [(1, 0)]
+    assert ["mix_id", "dataset_pos", "drawn", "n_shards"] in cuts
