@@ -50,7 +50,7 @@ def availability(parents: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("parent_table", "key").orderBy(F.col("lo").asc_nulls_last())
     before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("fresh", F.when(before.isNull() | (F.col("lo") > before), 1).otherwise(0))
+    marked = rows.withColumn("fresh", F.when(F.col("lo").isNull() | before.isNull() | (F.col("lo") > before), 1).otherwise(0))
     islands = marked.withColumn("island", F.sum("fresh").over(w))
     return islands.groupBy("parent_table", "key", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 

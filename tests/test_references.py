@@ -31,3 +31,10 @@ def test_normal_forms(spark):
     df = spark.createDataFrame([(" R007 Tormov-Amination__RETRO ",), ("__a__retro__retro",), (None,)], "x string")
     assert [r[0] for r in df.select(rule_key(F.col("x"))).collect()] == ["r007_tormov_amination", "a_retro", None]
     assert df.select(item_key(F.col("x"))).first()[0] == "r007 tormov-amination__retro"
+
+
+def test_a_row_never_loaded_does_not_extend_a_period(spark):
+    day = lambda n: T(2024, 1, n)
+    parents = spark.createDataFrame([("p", "a", day(1), day(4), 0), ("p", "a", None, None, 0)], PARENT)
+    child = spark.createDataFrame([("p", "s", 1, "f", "a", day(2), 0), ("p", "s", 2, "f", "a", day(9), 0)], CHILD)
+    assert {(r.src_id, r.reason) for r in orphan_references(child, parents).collect()} == {(2, "withdrawn")}
