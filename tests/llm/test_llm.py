@@ -234,3 +234,12 @@ def test_the_tree_draws_for_the_cases_too(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "train", ["a"], None, 400, 2, None, 0)], MIX).write.parquet(str(tmp_path / "mixed_dataset_params.parquet"))
     assert [tuple(r) for r in q_mixing.p1_found(spark, str(tmp_path)).collect()] == [(1, 0)]
     assert ["mix_id", "dataset_pos", "drawn", "n_shards"] in cuts
+
+
+def test_overlap_covers_all_of_ligand_and_pocket(spark):
+    lig, pocket = "CCOCNCCSCCOCCNFCCBrC", "ACDEFGHIKLMNPQRSTVWYACDEGFHIKL"
+    near = pocket[:15] + "X" + pocket[16:]  # one character of thirty in no shared chunk
+    rows = [(1, "train", "d", lig, near), (2, "val", "d", lig, pocket), (3, "test", "d", lig, near), (4, "test", "d", "CC", "AB"), (5, "train", "d", "CC", "ab")]
+    df = spark.createDataFrame(rows, "item_id bigint, split string, datadir string, ligand_smiles string, pocket_seq string")
+    got = {(r.eval_id, r.train_id): r.overlap for r in overlap.cross_split_pairs(df).collect()}
+    assert got == {(2, 1): pytest.approx(49 / 50), (3, 1): 1.0, (4, 5): 1.0}
