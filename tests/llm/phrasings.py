@@ -1,4 +1,4 @@
-"""Pages and contents in phrasings that the residue rules were not corrected on."""
+"""Pages and contents in other phrasings, written together with the rules of structure and not corrected on since."""
 
 PAGES = [
     "Our viewer requires JavaScript. Please enable it and reload.",
