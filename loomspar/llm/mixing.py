@@ -17,6 +17,7 @@ the records are put in a random order.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,6 @@ from loomspar.session import cut_lineage
 BLOCK_ROWS = 4096  # aimed-at records of a source block
 SHARD_SIZE = 1024  # aimed-at samples of an output shard
 SUBTREE = 4096  # shards of a node that is finished in one task
-EXACT = 10**9  # totals from here on are beyond the exact sampler
 
 
 def source_blocks(items: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -115,23 +115,54 @@ def node_rng(*place: int) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64(int.from_bytes(digest, "little")))
 
 
-def draw_part(rng: np.random.Generator, quotas: np.ndarray, size: int) -> np.ndarray:
-    """How many of ``size`` draws without replacement come from each source.
+def log_factorial_step(a: int, b: int) -> float:
+    """``log(a!) - log(b!)`` without the cancellation that the difference of two large values has."""
+    if min(a, b) < 256:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+    x, y, d = a + 1.0, b + 1.0, float(a - b)
+    tail = lambda v: 1 / (12 * v) - 1 / (360 * v**3)
+    return d * math.log(y) + (x - 0.5) * math.log1p(d / y) - d + tail(x) - tail(y)
+
+
+def draw_good(rng: np.random.Generator, good: int, bad: int, size: int) -> int:
+    """How many of ``size`` draws without replacement are good: hypergeometric at any size of the
+    counts, by the ratio of uniforms with the probability taken relative to its mode."""
+    total = good + bad
+    if size == 0 or good == 0:
+        return 0
+    if bad == 0 or size == total:
+        return min(good, size)
+    few, draws = min(good, bad), min(size, total - size)
+    share = few / total
+    centre = draws * share + 0.5
+    spread = math.sqrt((total - draws) * draws * share * (1 - share) / (total - 1) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    mode = (draws + 1) * (few + 1) // (total + 2)
+    most = min(draws, few)
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        x = centre + width * (v - 0.5) / u
+        if not 0 <= x < most + 1:
+            continue
+        k = int(x)
+        other = total - few - draws
+        weight = log_factorial_step(mode, k) + log_factorial_step(few - mode, few - k) + log_factorial_step(draws - mode, draws - k) + log_factorial_step(other + mode, other + k)
+        if 2 * math.log(u) <= weight:
+            break
+    k = k if good <= bad else draws - k
+    return k if size == draws else good - k
 
-    Multivariate hypergeometric; for totals of 10^9 and more, where the sampler ends, the even
-    shares rounded down plus a hypergeometric draw over the remainders.
-    """
-    total = int(quotas.sum())
-    if size <= 0 or total == 0:
-        return np.zeros_like(quotas)
-    if size >= total:
-        return quotas.copy()
-    if total < EXACT:
-        return rng.multivariate_hypergeometric(quotas, size, method="marginals")
-    even = np.array([int(q) * size // total for q in quotas], dtype=np.int64)
-    rest = size - int(even.sum())  # below the number of sources
-    room = np.minimum(quotas - even, 1)
-    return even + rng.multivariate_hypergeometric(room, rest, method="marginals")
+
+def draw_part(rng: np.random.Generator, quotas: np.ndarray, size: int) -> np.ndarray:
+    """How many of ``size`` draws without replacement come from each source: multivariate
+    hypergeometric, source after source."""
+    rest, left = int(quotas.sum()), max(0, size)
+    out = np.zeros_like(quotas)
+    for i, q in enumerate(map(int, quotas)):
+        out[i] = n = q if left >= rest else draw_good(rng, q, rest - q, left)
+        rest -= q
+        left -= n
+    return out
 
 
 def shard_start(k: int, n_shards: int, total: int) -> int:
@@ -213,7 +244,13 @@ def block_draws(mixes: DataFrame, items: DataFrame, block_rows: int = BLOCK_ROWS
         "b_lo", F.col("pass") * F.col("n_records") + F.coalesce(F.sum("block_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     runs = shard_quotas(quotas, shard_size, seed).join(used, ["mix_id", "dataset_pos"]).withColumn("r_lo", F.col("source_start") + F.col("offset")).withColumn("r_hi", F.col("source_start") + F.col("offset") + F.col("n"))
-    met = runs.join(placed.drop("n_records", "end"), ["mix_id", "source", "split"]).where((F.col("r_lo") < F.col("b_lo") + F.col("block_n")) & (F.col("r_hi") > F.col("b_lo")))
+    # both are intervals of one sequence: they meet in the stretches of block_rows that both touch, and count in the first of these
+    stretch = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / block_rows), F.floor((F.col(hi) - 1) / block_rows)))
+    runs = runs.withColumn("stretch", stretch("r_lo", "r_hi"))
+    placed = placed.drop("n_records", "end").withColumn("b_hi", F.col("b_lo") + F.col("block_n")).withColumn("stretch", stretch("b_lo", "b_hi"))
+    met = runs.join(placed, ["mix_id", "source", "split", "stretch"]).where(
+        (F.col("r_lo") < F.col("b_hi")) & (F.col("r_hi") > F.col("b_lo")) & (F.col("stretch") == F.floor(F.greatest("r_lo", "b_lo") / block_rows))
+    )
     return met.select(
         "mix_id", "shard", "dataset_pos", "source", "split", "pass", "block",
         F.greatest(F.col("r_lo") - F.col("b_lo"), F.lit(0)).alias("lo"), F.least(F.col("r_hi") - F.col("b_lo"), F.col("block_n")).alias("hi"),
