@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 RUN = 12  # words that a case shares
 SHINGLE = 3  # words of the joined tokens
 SLICE_BYTES = 16 << 20  # item text per slice
+PAIRS = 1_000_000  # comparisons made at a time
 
 _FORMAT = regex.compile(r"\p{Cf}+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -61,19 +62,29 @@ class ItemIndex:
         self.codes, self.inverse = np.unique(self.shingles(self.flat), return_inverse=True)
 
     def shingles(self, flat: np.ndarray) -> np.ndarray:
-        """A code for the shingle that begins at each place, 0 where a word is unknown or text ends."""
+        """A code for the shingle that begins at each place, 0 where a word is unknown or text ends.
+
+        Codes are 64-bit hashes, for any size of the vocabulary. Shingles that share a code cost a
+        comparison, no more, since matches are verified word by word.
+        """
         if len(flat) < self.shingle:
             return np.zeros(len(flat), np.int64)
-        code = np.zeros(len(flat) - self.shingle + 1, np.int64)
+        code = np.zeros(len(flat) - self.shingle + 1, np.uint64)
         whole = np.ones(len(code), bool)
         for k in range(self.shingle):
             part = flat[k : k + len(code)]
-            code = code * (len(self.vocabulary) + 1) + part
+            code = (code ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
             whole &= part > 0
-        return np.concatenate([np.where(whole, code, 0), np.zeros(self.shingle - 1, np.int64)])
+        code[code == 0] = 1
+        return np.concatenate([np.where(whole, code, np.uint64(0)).view(np.int64), np.zeros(self.shingle - 1, np.int64)])
 
     def prefix(self, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(codes, places)`` sorted by code: the rarest shingle of every window, where it stands."""
+        """``(codes, places)`` sorted by code: the rarest shingle of every window, where it stands.
+
+        Places of one item with the same words around them, as far as a run can reach, are one place,
+        so a phrase repeated without end in an item is looked at a bounded number of times.
+        """
         span = self.run - self.shingle + 1
         n = len(self.flat) - self.run + 1
         if n <= 0 or not self.vocabulary:
@@ -85,10 +96,18 @@ class ItemIndex:
         chosen = np.unique(self.inverse[at[inside]])
         places = np.flatnonzero(np.isin(self.inverse, chosen) & (self.flat > 0))
         codes = self.codes[self.inverse[places]]
-        keep = codes > 0
+        keep = codes != 0
         places, codes = places[keep], codes[keep]
-        order = np.argsort(codes, kind="stable")
-        return codes[order], places[order]
+        around = np.zeros(len(places), np.uint64)
+        for d in range(self.shingle - self.run, self.run):
+            at = np.clip(places + d, 0, len(self.flat) - 1)
+            around = (around ^ self.flat[at].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            around ^= around >> np.uint64(31)
+        order = np.lexsort((places, self.owner[places], around, codes))
+        places, codes, around = places[order], codes[order], around[order]
+        new = np.ones(len(places), bool)
+        new[1:] = (np.diff(codes) != 0) | (around[1:] != around[:-1]) | (np.diff(self.owner[places]) != 0)
+        return codes[new], places[new]
 
     def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' words as numbers, a run of zeros between texts; and each place's text."""
@@ -107,11 +126,10 @@ class ItemIndex:
         flat, owner = self.numbered(texts)
         own = self.shingles(flat)
         lo, hi = np.searchsorted(codes, own, "left"), np.searchsorted(codes, own, "right")
-        count = np.where(own > 0, hi - lo, 0)
+        count = np.where(own != 0, hi - lo, 0)
         hits = np.flatnonzero(count)
         found: set[tuple[int, int]] = set()
-        for at in range(0, len(hits), 100_000):
-            some = hits[at : at + 100_000]
+        for some in np.split(hits, np.flatnonzero(np.diff(np.cumsum(count[hits]) // PAIRS)) + 1):  # about PAIRS comparisons at a time
             n = count[some]
             here = np.repeat(some, n)
             there = places[np.repeat(lo[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
@@ -134,7 +152,7 @@ def item_slices(items: DataFrame, key: str, text: str, slice_bytes: int = SLICE_
     rows = items.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).where("k is not null and t is not null").distinct()
     for row in rows.toLocalIterator():
         part.append((row["k"], row["t"]))
-        size += len(row["t"])
+        size += len(row["t"].encode("utf-8", "surrogatepass"))
         if size >= slice_bytes:
             yield part
             part, size = [], 0
@@ -152,7 +170,7 @@ def shingle_frequencies(docs: DataFrame, sent) -> np.ndarray:
             flat, owner = index.numbered(batch.column("t").to_pylist())
             own = index.shingles(flat)
             at = np.minimum(np.searchsorted(index.codes, own), len(index.codes) - 1)
-            hit = (own > 0) & (index.codes[at] == own)
+            hit = (own != 0) & (index.codes[at] == own)
             pairs = np.unique(owner[hit] * len(index.codes) + at[hit])
             total += np.bincount(pairs % len(index.codes), minlength=len(index.codes))
         some = np.flatnonzero(total)

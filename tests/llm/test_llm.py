@@ -40,6 +40,17 @@ def test_splitting_tree_is_exact():
     assert big.sum() == 10**9 + 1
 
 
+@pytest.mark.parametrize("good, bad, size", [(7, 5, 6), (40, 900, 300), (900, 40, 700), (3 * 10**11, 10**12, 4 * 10**10), (10**6, 10**14, 10**10)])
+def test_hypergeometric_draws_at_any_size(good, bad, size):
+    rng, total = mixing.node_rng(good, size), good + bad
+    drawn = np.array([mixing.draw_good(rng, good, bad, size) for _ in range(4000)], float)
+    mean, var = size * good / total, size * good / total * (bad / total) * ((total - size) / (total - 1))
+    assert drawn.min() >= max(0, size - bad) and drawn.max() <= min(good, size)
+    assert abs(drawn.mean() - mean) < 5 * (var / 4000) ** 0.5 and 0.88 < drawn.var() / var < 1.12
+    z = (drawn - mean) / var**0.5
+    assert var < 100 or abs((z**4).mean() - 3) < 0.6
+
+
 def test_paths_and_splits(spark):
     df = spark.createDataFrame([(" ./a//b/ ",), ("a/./b",), ("a/c/../b",), (None,), ("",)], "x string")
     assert [r[0] for r in df.select(path_key(F.col("x"))).collect()] == ["a/b", "a/b", "a/b", None, "."]
@@ -243,3 +254,12 @@ def test_overlap_covers_all_of_ligand_and_pocket(spark):
     df = spark.createDataFrame(rows, "item_id bigint, split string, datadir string, ligand_smiles string, pocket_seq string")
     got = {(r.eval_id, r.train_id): r.overlap for r in overlap.cross_split_pairs(df).collect()}
     assert got == {(2, 1): pytest.approx(49 / 50), (3, 1): 1.0, (4, 5): 1.0}
+
+
+def test_leaks_with_a_huge_vocabulary_and_repeats_without_end():
+    names = [f"n{k}" for k in range(2_200_000)]  # their number cubed is beyond 64 bits
+    index = leaks.ItemIndex([(1, " ".join(names)), (2, "so " * 50_000 + "it goes")])
+    codes, places = index.prefix(np.zeros(len(index.codes), np.int64))
+    some = [" ".join(names[k : k + 12]) for k in range(2_100_000, 2_101_000, 10)]
+    assert index.matches(some, codes, places) == {(k, 1) for k in range(100)}
+    assert (places > 2_200_000).sum() < 100 and index.matches(["so " * 20_000, "so " * 11], codes, places) == {(0, 2)}
