@@ -1,122 +1,177 @@
 """Template residue: trusted labels, spread over near-duplicates.
 
-Every document gets its own trusted label, if the rules give one, and a core: its text without code
-and navigation, numbers masked. Documents of equal core form a class, so copies cost nothing.
-Classes are linked if they are near-duplicates: candidates share a 16-bit part of a 512-bit SimHash
-of their five-word shingles (32 tables), their first 64 bits differ in at most 20 places, and their
-shingle sets then have an exact Jaccard similarity of at least 0.8. Labels of texts that are residue
-as a whole (pages, pure filler) spread through the connected components of these links; labels of
-texts that only hold residue do not, since the next draft may have the gap filled.
-
-By the binomial law of sign agreements, a pair of similarity 0.8 meets in some table with
-probability 0.91, one of 0.9 with 0.998; equal cores always meet.
+Trusted labels are few (``residue_rules``): placeholder syntax, filler, and single passages that show
+by themselves that they belong to an error page or a notice about scripts. Everything else is reached
+by spreading, on two graphs.
+
+*Passages.* A document's text, without code, is cut into passages (sentences and lines), and a passage
+without case, layout and numbers is its class. Documents are linked by the classes they share. A class
+joins the residue if it occurs in at least ``LEAST_DOCS`` different documents and at least half of
+these are residue by a seventh or more of their words (0.15); so navigation, courtesy lines and further phrasings
+are learned from the company they keep, in any language, while a sentence that content holds as well
+is not, and one mistaken passage does not take the content around it along. Copies of a document count once. A document of which every passage
+is residue is residue, or a request to the reader beside it, is residue; one passage of another kind makes it
+content.
+
+*Documents.* Documents of equal core (all passages, numbers masked) form a class. Classes are linked
+if they are near-duplicates: candidates share a part of a SimHash of their five-word shingles (several
+tables), their first 64 bits differ in at most ``NEAR64`` places, and their shingle sets then have a
+Jaccard similarity of at least 0.8. Labels of texts that are residue as a whole spread through the
+connected components of these links; labels of texts that only hold residue do not, since the next
+draft may have the gap filled.
+
+The width of a part follows the number of documents (16 bits up to 65,536 of them, one more for each
+doubling), so that random meetings stay in proportion to the documents, and the number of tables is
+the one at which, by the binomial law of sign agreements, a pair of similarity 0.8 meets in some table
+with probability 0.9 (one of 0.9 with 0.997); equal cores always meet.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomspar.llm import residue_rules as rules
 from loomspar.session import cut_lineage
 
 SHINGLE, LEAST = 5, 0.8
-TABLES, PART_BITS = 32, 16
-WORDS64 = TABLES * PART_BITS // 64
+MEETS = 0.9  # probability that a pair of the least similarity meets in some table
 NEAR64 = 20  # of the first 64 bits
+LEAST_DOCS, COMPANY, COVER = 3, 0.5, 0.15  # documents of a passage that joins the residue, the share of them that speak for it, and how much of such a document is residue
+LEAST_WORDS = 3  # of a document that is residue as a whole
 
-TOKEN = re.compile(r"[^\W\d_]+|\d+")
+TOKEN = re.compile(r"[^\W_]+(?:[_-][^\W_]+)*")
 
 
-def core_tokens(plain: str) -> list[str]:
-    return ["#" if t.isdigit() else t for s in rules.core_sentences(plain) for t in TOKEN.findall(s.lower())]
+class Codes(dict):
+    """64-bit codes of words, made when first asked for; words with a digit share one."""
 
-
-def shingle_hashes(tokens: list[str]) -> np.ndarray:
-    """Distinct 64-bit hashes of the five-word shingles; a shorter text is one shingle."""
-    if len(tokens) < SHINGLE:
-        joined = [" ".join(tokens)]
-    else:
-        joined = [" ".join(tokens[i : i + SHINGLE]) for i in range(len(tokens) - SHINGLE + 1)]
-    return np.array([int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for s in set(joined)], np.uint64)
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        plain = "#" if any(map(str.isdigit, word)) else word
+        self[word] = code = int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return code
 
 
-_SEEDS = (np.arange(1, WORDS64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+CODES = Codes()
 
 
-def simhash(hashes: np.ndarray) -> np.ndarray:
-    """512 bits as 64-bit words: the majority of each bit over all shingles."""
-    x = hashes[:, None] ^ _SEEDS
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1)
-    return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(x)).view(np.uint64)
+    return x ^ (x >> np.uint64(31))
 
 
-_MARKED = "doc bigint, label string, whole boolean, cls bigint, core string, sig bigint, parts array<int>"
+def folded(codes: np.ndarray) -> int:
+    """One signed 64-bit digest of a sequence of codes."""
+    place = np.arange(1, len(codes) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return int(mixed(mixed(codes + place).sum(keepdims=True) + np.uint64(len(codes))).view(np.int64)[0])
 
 
-def mark_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per document: its trusted label, its class and the class's SimHash parts."""
+def shingle_hashes(codes: np.ndarray) -> np.ndarray:
+    """Distinct 64-bit hashes of the five-word shingles; a shorter text is one shingle."""
+    n = max(1, len(codes) - SHINGLE + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, len(codes))):
+        h = mixed(h + codes[k : k + n])
+    return np.unique(h)
+
+
+def simhash(hashes: np.ndarray, words64: int) -> np.ndarray:
+    """``64 * words64`` bits: the majority of each bit over all shingles."""
+    total = np.zeros(64 * words64, np.int64)
+    seeds = (np.arange(1, words64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for at in range(0, len(hashes), 4096):
+        x = mixed(hashes[at : at + 4096, None] ^ seeds)
+        total += np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return total * 2 > len(hashes)
+
+
+def table_plan(n: int) -> tuple[int, int]:
+    """``(part bits, tables)`` for so many documents."""
+    bits = min(40, max(16, math.ceil(math.log2(max(2, n)))))
+    agree = 1 - math.acos(2 * LEAST / (1 + LEAST)) / math.pi
+    return bits, math.ceil(math.log(1 - MEETS) / math.log(1 - agree**bits))
+
+
+_MARKED = "doc bigint, label string, cls bigint, words int, passages array<struct<cls:bigint,seed:string,words:int>>, sig bigint, parts array<bigint>, shingles array<bigint>"
+
+
+def mark_documents(docs: DataFrame, key: str, text: str, plan: tuple[int, int]) -> DataFrame:
+    """One row per document: its trusted label, if it holds residue; its class; its passages; and the
+    class's SimHash parts and shingles."""
+    bits, tables = plan
+    words64 = -(-bits * tables // 64)
+    weights = (np.int64(1) << np.arange(bits, dtype=np.int64))[None, :]
+
+    def one(t: str) -> tuple:
+        plain = rules.without_code(t)
+        own = "placeholder" if rules.has_placeholder(plain) else None
+        if "&" in plain:
+            plain = html.unescape(plain)
+        if own is None and rules.has_latin_filler(plain):
+            own = "filler"
+        codes, seen = [], {}
+        for p in rules.passages(plain):
+            tokens = TOKEN.findall(p.lower())
+            if not tokens:
+                continue
+            c = np.array([CODES[w] for w in tokens], np.uint64)
+            codes.append(c)
+            at = folded(c)
+            if at not in seen:
+                if rules.is_filler(p):
+                    own = own or "filler"
+                    seed = "filler"
+                else:
+                    seed = "filler" if rules.is_latin(p) else "page" if rules.is_page_part(p) else "request" if rules.is_request(p) else None
+                seen[at] = seed, len(tokens)
+        if not codes:
+            return own, None, 0, None, None, None, None
+        every = np.concatenate(codes)
+        hashes = shingle_hashes(every)
+        h = simhash(hashes, words64)
+        parts = h[: bits * tables].reshape(tables, bits) @ weights[0]
+        return own, folded(every), len(every), list(seen.items()), int(np.packbits(h[:64]).view(np.int64)[0]), parts, hashes.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("cls", pa.int64()), ("seed", pa.string()), ("words", pa.int32())]))
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            label, whole, cls, core, sig, parts = [], [], [], [], [], []
-            for t in texts:
-                own = rules.label(t)
-                plain = html.unescape(rules.without_code(t or ""))
-                tokens = core_tokens(plain)
-                label.append(own)
-                whole.append(own == "page" or own == "filler" and rules.is_filler_only(plain))
-                if not tokens:
-                    for column in (cls, core, sig, parts):
-                        column.append(None)
-                    continue
-                joined = " ".join(tokens)
-                bits = simhash(shingle_hashes(tokens))
-                cls.append(int.from_bytes(hashlib.blake2b(joined.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-                core.append(joined)
-                sig.append(int(bits[:1].view(np.int64)[0]))
-                parts.append(bits.view(np.uint16).astype(np.int32).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(label, pa.string()), pa.array(whole, pa.bool_()), pa.array(cls, pa.int64()), pa.array(core, pa.string()), pa.array(sig, pa.int64()), pa.array(parts, pa.list_(pa.int32()))],
-                names=["doc", "label", "whole", "cls", "core", "sig", "parts"],
-            )
+            for at in range(0, batch.num_rows, 1000):
+                piece = batch.slice(at, 1000)
+                label, cls, words, passages, sig, parts, shingles = zip(*map(one, piece.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), pa.array(label, pa.string()), pa.array(cls, pa.int64()), pa.array(words, pa.int32()), pa.array([p and [{"cls": c, "seed": s, "words": n} for c, (s, n) in p] for p in passages], kind), pa.array(sig, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(shingles, pa.list_(pa.int64()))],
+                    names=["doc", "label", "cls", "words", "passages", "sig", "parts", "shingles"],
+                )
 
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).where("k is not null and t is not null")
     return rows.mapInArrow(run, _MARKED)
 
 
-@F.pandas_udf(T.DoubleType())
-def core_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaccard similarity of two cores' shingle sets."""
-    out = []
-    for x, y in zip(a, b):
-        p, q = (set(zip(*[t[i:] for i in range(SHINGLE)])) if len(t) >= SHINGLE else {tuple(t)} for t in (x.split(" "), y.split(" ")))
-        out.append(len(p & q) / len(p | q))
-    return pd.Series(out)
+def one_per_class(marked: DataFrame, *columns: str) -> DataFrame:
+    return marked.where(F.col("cls").isNotNull()).select("cls", *columns).dropDuplicates(["cls"])
 
 
 def near_classes(marked: DataFrame) -> DataFrame:
-    """Links ``(a, b)``, a < b, between classes whose cores are near-duplicates."""
-    classes = marked.where(F.col("cls").isNotNull()).select("cls", "sig", "parts").dropDuplicates(["cls"])
-    rows = classes.select("cls", "sig", F.posexplode("parts").alias("table", "part"))
+    """Links ``(a, b)``, a < b, between classes that are near-duplicates. Shingle sets are compared where
+    they lie, by 64-bit hashes."""
+    rows = one_per_class(marked, "sig", "parts").select("cls", "sig", F.posexplode("parts").alias("table", "part"))
     left, right = rows.withColumnsRenamed({"cls": "a", "sig": "sig_a"}), rows.withColumnsRenamed({"cls": "b", "sig": "sig_b"})
     met = left.join(right, ["table", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= NEAR64)).select("a", "b").distinct()
-    cores = marked.where(F.col("cls").isNotNull()).select("cls", "core").dropDuplicates(["cls"])
-    both = met.join(cores.withColumnsRenamed({"cls": "a", "core": "x"}), "a").join(cores.withColumnsRenamed({"cls": "b", "core": "y"}), "b")
-    return both.where(core_similarity("x", "y") >= LEAST).select("a", "b")
+    sets = one_per_class(marked, "shingles")
+    both = met.join(sets.withColumnsRenamed({"cls": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"cls": "b", "shingles": "y"}), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= LEAST * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def spread_labels(links: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -132,16 +187,49 @@ def spread_labels(links: DataFrame, seeds: DataFrame) -> DataFrame:
         reached = cut_lineage(reached.union(front))
 
 
+def whole_residue(marked: DataFrame, least_docs: int = LEAST_DOCS, company: float = COMPANY, cover: float = COVER) -> DataFrame:
+    """Classes of documents of which every passage is residue: ``(cls, label, via)``.
+
+    Only documents of passages that are trusted or occur in at least ``least_docs`` documents can be
+    such, or speak for one; the rest leaves before the rounds. Rounds end when no passage is new.
+    """
+    docs = one_per_class(marked, "passages")
+    rows = docs.select(F.col("cls").alias("doc"), F.explode("passages").alias("p")).select("doc", F.col("p.words").alias("words"), F.col("p.cls").alias("cls"), F.col("p.seed").alias("seed"))
+    counts = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
+    common = rows.select("doc", "words", "cls").join(counts, "cls")
+    fit = common.groupBy("doc").agg(F.bool_and(F.col("seed").isNotNull() | (F.col("n") >= least_docs)).alias("fit")).where("fit").select("doc")
+    live = cut_lineage(common.join(fit, "doc", "left_semi"))
+    residue = cut_lineage(live.where("seed in ('page', 'filler')").select("cls").distinct())
+    fits = F.col("in").isNotNull() | F.coalesce(F.col("seed") == "request", F.lit(False))
+    while True:
+        known = live.join(residue.withColumn("in", F.lit(True)), "cls", "left")
+        hit = known.groupBy("doc").agg(F.sum(F.when(fits, F.col("words")).otherwise(0)).alias("w"), F.sum("words").alias("words")).where(F.col("w") >= cover * F.col("words")).select("doc")
+        kept = known.where(~fits).join(hit, "doc", "left_semi").groupBy("cls").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+        new = cut_lineage(kept.where((F.col("m") >= least_docs) & (F.col("m") >= company * F.col("n"))).select("cls"))
+        if new.isEmpty():
+            break
+        residue = cut_lineage(residue.union(new))
+    judged = live.join(residue.withColumn("in", F.lit(True)), "cls", "left").groupBy("doc").agg(
+        F.bool_and(fits).alias("all"), F.count("in").alias("n_in"), F.sum("words").alias("words"),
+        F.max(F.when(F.col("seed") != "request", F.col("seed"))).alias("label"), F.bool_and(F.col("seed").isNotNull()).alias("own"),
+    )
+    return judged.where(F.col("all") & (F.col("n_in") > 0) & (F.col("words") >= LEAST_WORDS)).select(F.col("doc").alias("cls"), F.coalesce("label", F.lit("page")).alias("label"), F.when(F.col("own"), "own").otherwise("near").alias("via"))
+
+
 def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, label, via)``: documents that are or hold template residue.
 
     ``label``: ``placeholder``, ``filler`` or ``page``; ``via``: ``own`` for a trusted label, ``near``
-    for one that came over near-duplicates. Null, empty and blank texts are no residue. A repeated key
-    is marked if any of its texts is. Texts are read whole. An empty table gives an empty result;
-    further columns do not matter.
+    for one that came over shared passages or near-duplicates. Null, empty and blank texts are no
+    residue. A repeated key is marked if any of its texts is. Texts are read whole. An empty table
+    gives an empty result; further columns do not matter.
     """
-    marked = cut_lineage(mark_documents(docs, key, text))
-    reached = spread_labels(near_classes(marked), marked.where(F.col("whole") & F.col("cls").isNotNull()))
+    marked = cut_lineage(mark_documents(docs, key, text, table_plan(docs.count())))
+    whole = cut_lineage(whole_residue(marked))
+    reached = spread_labels(near_classes(marked), whole)
     own = marked.where(F.col("label").isNotNull()).select("doc", "label", F.lit("own").alias("via"))
-    near = marked.where(F.col("label").isNull()).join(reached, "cls", "left_semi").select("doc", F.lit("page").alias("label"), F.lit("near").alias("via"))
-    return own.union(near).groupBy("doc").agg(F.min_by("label", F.struct("via", "label")).alias("label"), F.max("via").alias("via")).withColumnRenamed("doc", key)
+    rest = marked.where(F.col("label").isNull())
+    page = rest.join(whole.select("cls", F.col("label").alias("l"), "via"), "cls").select("doc", F.col("l").alias("label"), "via")
+    near = rest.join(reached, "cls", "left_semi").select("doc", F.lit("page").alias("label"), F.lit("near").alias("via"))
+    every = own.union(page).union(near)
+    return every.groupBy("doc").agg(F.max_by("label", F.struct(F.col("via") == "own", "label")).alias("label"), F.max_by("via", F.col("via") == "own").alias("via")).withColumnRenamed("doc", key)

@@ -1,9 +1,11 @@
-"""Trusted labels for template residue: what unfilled placeholders, filler and error pages look like.
-
-Rules are kept narrow, since labels spread to near-duplicates. Texts are judged without code in
-backticks or fences. A ``page`` is a text that consists of sentences of error pages or of notices
-that scripts are needed, with courtesy lines and page navigation around them; one sentence of
-another kind makes it content.
+"""Trusted labels for template residue: the few forms from which labels spread.
+
+Texts are judged without code in backticks or fences. Placeholders and filler are told by their
+syntax and by the usual filler words, wherever they stand. For pages only single passages (sentences
+or lines) get a trusted label: a status line, a notice that scripts are needed (a word for scripts and
+a word for switching on), or a failed subject (a word for what was asked for and a word for its
+failing). A request to the reader may stand beside these. Whether a document is a page is decided by what all its passages are, after labels have
+spread (see ``residue``); so these rules know neither navigation nor courtesy lines nor content.
 """
 
 from __future__ import annotations
@@ -74,71 +76,41 @@ FILLER = re.compile(
     re.I,
 )
 
-SCRIPT = r"(?:java\s?-?script|\bjs\b|\b(?:client-side |active |browser )?script(?:s|ing)?(?: execution| support)?\b|\bcookies\b|noscript|skripte?|scripts?)"
-NEED = (
-    r"(?:\benabl\w*|\bactivat\w*|\bturn(?:ed|ing)?\b.{0,12}\bo(?:n|ff)\b|\bswitch(?:ed|ing)?\b.{0,24}\bo(?:n|ff)\b|\ballow\w*|\brequire[sd]?\b|\bneed(?:s|ed)?\b|\bmust\b|\bwithout\b|\bdisabled\b|\bblock(?:s|ed)?\b|\bworks? only\b|\bonly works?\b|\bunsupported\b|\bsupported\b"
-    r"|\bno script support\b|\bis off\b|\bcannot start\b|\bturn off\b|\baktivier\w*|\bbenötigt\b|\berforderlich\b|\bdeaktiviert\b|\beinschalten\b|\bactive[rz]?\b|\bactivez\b|\bdésactivé\b|\bnécessaire\b|\bactiv[ae]r?\b|\bhabilit\w*|\bdesactivado\b|\bnecesita\b|启用|开启|打开|需要|禁用|请启用)"
-)
-SCRIPTS, NEEDED = re.compile(SCRIPT, re.I), re.compile(NEED, re.I)
-# what makes a sentence content by its own structure: a first person who tells what they did, a script that acts, a need that is denied, a quantity
-CONTENT = re.compile(
-    r"\b(?:we|i)\s+(?!(?:noticed|detected|encountered|needed|failed|tried)\b)(?:\w+ed|ran|wrote|sent|took|found|bought|got|made|did|saw)\b|\b(?:wir|ich) haben?\b(?!.*\b(?:festgestellt|bemerkt|erkannt)\b)|\bnous avons\b(?! (?:détecté|constaté|remarqué)\b)|\bhemos\b(?! (?:detectado|notado)\b)"
-    r"|\b(?:script|skript)\s+(?!(?:is|has|was|must|needs? to be|requires? to be)\b)(?:[a-z]+s|liest|lit|lee|de)\b"
-    r"|\b(?:not|no longer) (?:needed|required|necessary)\b|\bno need\b|\birrelevant\b|\bnicht (?:nötig|erforderlich|notwendig)\b|\bpas (?:nécessaire|requise?)\b|\bno (?:es|hace) (?:necesario|falta)\b|无需|不需要|不必"
-    r"|(?<!not )(?<!n[’']t )\b(?:works?|runs?|loads?|opens?|readable|usable)(?: \w+){0,3} without\b"
-    r"|\d\s?(?:°\s?C|[mµ]?l\b|[mkµ]?g\b|[mµ]?mol\b|equiv\b|ppm\b)",
+SCRIPTS = re.compile(r"java\s?-?script|\bjs\b|\bscript(?:s|ing)?\b|\bskripte?\b|\bcookies\b|\b(?:your|ihrem?|votre|su) (?:web )?(?:browser|navigateur|navegador)\b|脚本|浏览器", re.I)
+SWITCHED = re.compile(r"\b(?:enabl|activ|aktivier|habilit|requir|disabl|désactiv|deaktiv|allow|need|block|support|nécess|benötig|erforder)|\b(?:turn|switch)(?:ed|ing)? (?:\w+ )?o(?:n|ff)\b|\bis off\b|\b(?:only|not|start) (?:\w+ )?with(?:out)?\b|启用|开启|打开|需要|禁用", re.I)
+SUBJECT = re.compile(
+    r"\b(?:pages?|site|website|record|item|document|file|url|address|entry|resource|content|viewer|server|service|session|request|access|connection|upstream|gateway|host|database|application|browser|permission|seite|datei|eintrag|server\w*|zugriff|dienst|serveur|accès|página|servidor|acceso)\b|页面|网页|服务器|访问|会话",
     re.I,
 )
-
-STATUS = r"(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|request timeout|conflict|gone|payload too large|uri too long|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)"
-ERROR = re.compile(
-    rf"^\W*the upstream\b.*\bdid not (?:answer|respond)\b|^\W*(?:(?:http(?:/\d\.\d)?|status|error|fehler|erreur|código|http status|error code|code)\W*)*[45]\d\d\W+{STATUS}\b"
-    rf"|^\W*{STATUS}\W*(?:\(?[45]\d\d\)?)?\W*$|^\W*(?:http\W*)?(?:status|error|fehler|erreur|http)\W*(?:code\W*)?[45]\d\d\b.{{0,60}}$"
-    r"|^\W*the requested url\b.*\bnot found|^\W*(?:this|that|the) (?:page|record|item|document|catalog entry|entry|file|structure file|route viewer|resource|url|site|content)(?: at this address| you (?:requested|asked for|are looking for))?[\w/: -]{0,40}\b(?:not be (?:found|loaded|displayed|opened)|cannot be (?:found|displayed|loaded|opened|shown)|(?:does|did) not exist|(?:is|was) not (?:available|found)|is (?:restricted|unavailable|no longer available|temporarily unavailable)|failed to (?:open|load)|took too long|has (?:moved (?:without|permanently|to a new (?:address|location|page|url))|been (?:moved|removed|deleted))|could not be)"
-    r"|^\W*(?:something|an error) (?:went wrong|(?:has )?occurred)\b|^\W*(?:access|permission) (?:denied|to .{0,40} (?:is )?denied)\W*$|^\W*you (?:do not|don[’']t) have (?:permission|access)\b|^\W*your (?:address|ip|session|request|browser) (?:has|have|is|was)\b.*$"
-    r"|^\W*whitelabel error page|^\W*this application has no explicit mapping|^\W*(?:database|server|connection|application|fatal|runtime|proxy) error\b|^\W*error establishing a database|^\W*traceback \(most recent call last\)|^\W*(?:uncaught |unhandled )?(?:[A-Z]\w*)?(?:error|exception): |^\W*file \"[^\"]+\", line \d+"
-    r"|^\W*(?:checking your browser|verify (?:that )?you are (?:a )?human|are you a robot|please complete the (?:captcha|security check)|one moment, please|just a moment)|^\W*you sent \d+ requests|^\W*rate limit|^\W*(?:the )?(?:site|catalog|page|server) is (?:currently )?(?:down|under|unavailable|offline)"
-    r"|^\W*(?:seite|datei|eintrag|dokument|objekt) nicht gefunden|^\W*(?:der|die|das) (?:eintrag|seite|datensatz|angeforderte|gesuchte)\b.{0,50}(?:existiert nicht|nicht gefunden|verschoben|wurde nicht)|^\W*interner serverfehler|^\W*zugriff verweigert|^\W*dienst nicht verfügbar|^\W*ein fehler ist aufgetreten"
-    r"|^\W*(?:page|fichier|document) (?:introuvable|non trouvée?)|^\W*erreur (?:[45]\d\d|interne|du serveur)|^\W*la page (?:demandée )?.{0,30}(?:introuvable|n[’']existe pas)|^\W*accès (?:refusé|interdit)|^\W*service indisponible|^\W*une erreur (?:est survenue|s[’']est produite)"
-    r"|^\W*(?:página|ficha|archivo) no (?:encontrad[ao]|existe|disponible)|^\W*error (?:interno|del servidor|[45]\d\d)|^\W*ha ocurrido un (?:problema|error)|^\W*acceso denegado|^\W*la página (?:solicitada|que busca)\b.{0,40}|^\W*servicio no disponible"
-    r"|页面不存在|找不到(?:该)?(?:页面|网页)|服务器(?:内部)?错误|访问被拒绝|拒绝访问|无法(?:显示|访问|打开)(?:此|该|本)?(?:页|网)|系统(?:繁忙|错误)|会话已过期",
+FAILED = re.compile(
+    r"\b(?:not|n[’']t|no longer|cannot|can[’']t|unable to|failed to|could not) (?:be )?(?:\w+ )?(?:found|exist|available|displayed|loaded|opened|open|load|shown|respond|answer|connect|find|reach|reached|permitted|supported|valid)\b|\b(?:does|did|do) not (?:exist|respond|answer|have permission)|\bunavailable\b|\bdenied\b|\bforbidden\b|\bexpired\b|\brestricted\b|\btimed? ?-?out\b|\btook too long\b|\b(?:has|was|been) (?:been )?(?:removed|deleted|blocked)\b|\bmoved (?:without|permanently)\b"
+    r"|\binternal error\b|\bis (?:down|offline|under maintenance)\b|\bnicht (?:gefunden|verfügbar|erreichbar)\b|\bexistiert nicht\b|\bverweigert\b|\bserverfehler\b|\bintrouvable\b|\bn[’']existe pas\b|\brefusé\b|\bindisponible\b|\bno (?:encontrad[ao]|existe|disponible)\b|\bdenegado\b|\b(?:error|problema|erreur|fehler)\b.{0,30}\b(?:servidor|serveur|server)\b|不存在|找不到|错误|被拒绝|已过期|无法",
     re.I,
 )
-COURTESY = re.compile(
-    r"^\W*(?:thank you|thanks|danke|merci|gracias|谢谢|loading|lädt|chargement|cargando|加载中|oops|sorry|whoops|entschuldigung|désolé|lo sentimos|error|fehler|erreur|attention|warning|note|ok|we use cookies|dismiss|close|retry|reload|refresh|continue|go back)\W*$"
-    r"|^\W*(?:code|error id|error|reference|ref|ray id|ray|incident|request id|kennung|référence|referencia|trace|id)\W*[\w-]*\d[\w-]*\W*$|^\W*request [\w-]+ was logged\b|^\W*(?:please|por favor)\b.*$|^\W*(?:try|log in|log out|sign in|sign out|log on|enable|allow|activate|refresh|reload|check|go back|return|update|contact|come back|search|use|click|wait|close|clear|turn|switch|bitte|retour|revenez|veuillez|vuelva|intente|inténtelo|zurück|versuchen|请)\b.*$"
-    r"|^\W*(?:if (?:nothing happens|this (?:keeps|error|problem)|you (?:believe|think|are)))\b.*$|^\W*(?:this takes up to|this may take|you will be redirected|some parts of|it works best|to continue|your settings)\b.*$|^\W*(?:请返回|请稍后|返回)\S*$|^\W*(?:error )?(?:id|ray id)\b.*$",
+STATUS = r"(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|request timeout|conflict|gone|payload too large|uri too long|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)"
+STATUS_LINE = re.compile(rf"^\W*(?:(?:http(?:/\d\.\d)?|status|error|fehler|erreur|código|code)\W*)*[45]\d\d(?:\W+{STATUS})?\W*$|^\W*{STATUS}\W*(?:\(?[45]\d\d\)?)?\W*$|^\W*(?:uncaught |unhandled )?[\w.]*(?:error|exception|traceback)\b(?: page| \(most recent call last\))?\W*$", re.I)
+# fixed values: notices of widespread public software that name neither a subject nor a script
+NOTICES = re.compile(r"^\W*(?:something went wrong|an error (?:has )?occurred|checking your browser\b.*|(?:please )?verify (?:that )?you are (?:a )?human\b.*|just a moment|ein fehler ist aufgetreten|une erreur est survenue|ha ocurrido un (?:error|problema)\b.*|系统繁忙)\W*$", re.I)
+# what a passage of a page does not do: a first person who tells what they did, a need denied, an amount
+TOLD = re.compile(
+    r"\b(?:we|i)\s+(?!(?:noticed|detected|encountered|needed|failed|tried|could|cannot|can)\b)(?:\w+ed|ran|wrote|sent|took|found|bought|got|made|did|saw)\b|\b(?:wir|ich) haben?\b|\bnous avons\b|\bhemos\b|\b(?:not|no longer) (?:needed|required|necessary)\b|\bworks? without\b|\bn[’']est pas nécessaire\b"
+    r"|\bscript (?!(?:is|has|was|must)\b)[a-z]+s\b|\bskript liest\b|\d\s?(?:°\s?C|[mµ]?l\b|[mkµ]?g\b|h\b|[mµ]?mol\b|ppm\b)|\b(?:once|twice|lot|, so|because)\b",
     re.I,
 )
-NAV_WORDS = set(
-    "home menu search sign in out log login logout register skip to main content back top terms privacy help contact about catalog routes imprint impressum cookies policy sitemap next previous share print english deutsch français español faq news blog support account cart settings startseite suche hilfe kontakt datenschutz accueil recherche aide inicio buscar ayuda of use navigation all rights reserved".split()
-)
-# what error pages put before their sentence
-LEAD = re.compile(rf"^\W*(?:(?:http\W*)?(?:error\W*)?(?:[45]\d\d\W*)?{STATUS}\W*(?:\(?[45]\d\d\)?)?|sorry|oops|error(?: [45]\d\d)?|something went wrong)\s*[–—:-]\s*(?=\w)", re.I)
-SENTENCE = re.compile(r"\n+|(?<=[.!?…])\s+|(?<=[。！？])")
+# a request to the reader to try another way: it goes with a page and says nothing by itself
+REQUEST = re.compile(r"^\W*(?:please|bitte|veuillez|por favor|请)|\b(?:try again|reload|refresh|sign (?:in|out)|log ?(?:in|out)|go back|check the address|contact (?:the|your) \w+|retry|enable it|turn (?:it|them) on)\b", re.I)
+SENTENCE = re.compile(r"\n+|(?<=[.!?…])\s+|(?<=[。！？])|\s[–—|·]\s|[;；]\s?")
 
 
 def without_code(text: str) -> str:
     return CODE.sub(" ", text)
 
 
-def is_navigation(line: str) -> bool:
-    """A line of nothing but the words of menus and page ends."""
-    if line.endswith((".", "!", "?")):
-        return False
-    words = WORD.findall(line.lower())
-    return not words and not line.strip("|·•-–—*=_#> ") or bool(words) and all(w in NAV_WORDS for w in words)
-
-
-def core_sentences(text: str) -> Iterator[str]:
-    """The sentences of a text (given without code) but for its navigation, one after the other."""
-    for line in text.split("\n"):
-        line = line.strip()
-        if line and not is_navigation(line):
-            for s in SENTENCE.split(line):
-                s = s.strip()
-                if s and not is_navigation(s):
-                    yield s
+def passages(plain: str) -> Iterator[str]:
+    """The sentences and lines of a text (given without code), one after the other."""
+    for s in SENTENCE.split(plain):
+        if s and (s := s.strip()):
+            yield s
 
 
 def has_placeholder(plain: str) -> bool:
@@ -147,7 +119,7 @@ def has_placeholder(plain: str) -> bool:
     return "<" in plain and any(not set(re.split(r"[ _-]", m[1].lower())) & HTML_TAGS for m in ANGLE.finditer(plain))
 
 
-def has_filler(plain: str) -> bool:
+def has_latin_filler(plain: str) -> bool:
     low = plain.lower()
     if any(w in low for w in ("dolor", "amet", "eiusmod", "magna", "nostrud", "labor", "ullamco")):
         run = 0
@@ -155,46 +127,24 @@ def has_filler(plain: str) -> bool:
             run = run + 1 if w in FILLER_WORDS else 0
             if run >= 6:
                 return True
-    return bool(FILLER_HINT.search(low)) and any(FILLER_HINT.search(s.lower()) and FILLER.search(s) for s in core_sentences(plain))
-
-
-def is_notice(sentence: str) -> bool:
-    return bool(SCRIPTS.search(sentence) and NEEDED.search(sentence))
-
-
-def is_page(plain: str) -> bool:
-    """Whether the sentences are those of an error page or notice, and no others; clauses apart from errors count each by itself."""
-    strong = False
-    for s in core_sentences(plain):
-        if CONTENT.search(s):
-            return False
-        rest = LEAD.sub("", s)
-        if ERROR.search(s) or rest != s and ERROR.search(rest):
-            strong = True
-            continue
-        for clause in filter(None, map(str.strip, re.split("[;；]", s))):
-            if is_notice(clause):
-                strong = True
-            elif not COURTESY.search(clause):
-                return False
-    return strong
-
-
-def is_filler_only(plain: str) -> bool:
-    """Whether every sentence is filler."""
-    sentences = list(core_sentences(plain))
-    return bool(sentences) and all(FILLER.search(s) or len(w := WORD.findall(s.lower())) >= 3 and sum(x in FILLER_WORDS for x in w) >= 0.8 * len(w) for s in sentences)
-
-
-def label(text: str | None) -> str | None:
-    """``placeholder``, ``filler``, ``page`` or None; None for null, empty and blank texts."""
-    if not text or not text.strip():
-        return None
-    plain = without_code(text)
-    if has_placeholder(plain):
-        return "placeholder"
-    if "&" in plain:
-        plain = html.unescape(plain)
-    if has_filler(plain):
-        return "filler"
-    return "page" if is_page(plain) else None
+    return False
+
+
+def is_filler(passage: str) -> bool:
+    return bool(FILLER_HINT.search(passage.lower()) and FILLER.search(passage))
+
+
+def is_latin(passage: str) -> bool:
+    w = WORD.findall(passage.lower())
+    return len(w) >= 3 and sum(x in FILLER_WORDS for x in w) >= 0.8 * len(w)
+
+
+def is_page_part(passage: str) -> bool:
+    """Whether a passage alone shows that it belongs to an error page or a notice about scripts."""
+    if STATUS_LINE.search(passage) or NOTICES.search(passage):
+        return True
+    return bool(SCRIPTS.search(passage) and SWITCHED.search(passage) or SUBJECT.search(passage) and FAILED.search(passage)) and not TOLD.search(passage)
+
+
+def is_request(passage: str) -> bool:
+    return bool(REQUEST.search(passage)) and not TOLD.search(passage)

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspar.llm import leaks, mixing, neighbours, overlap, residue, tokens
-from loomspar.llm import residue_rules as rules
 from loomspar.llm.items import path_key, split_name
 
 MIX = "mix_id bigint, stage string, datasets array<string>, weights array<double>, num_samples_per_epoch_per_gpu int, max_repeats int, ingested_at timestamp_ntz, extra int"
@@ -156,17 +155,44 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaked_items(d.limit(0), e).count() == 0 and leaks.leaked_items(d, e.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(
-    "text, label",
-    [
-        (None, None), ("", None), (" \n ", None), ("Heat {{ temp }} to boil.", "placeholder"), ("Use `{{ temp }}` in the template.", None), ("```\n${NAME}\n```\nDone well.", None), ("Add [INSERT SOLVENT HERE] now.", "placeholder"),
+RESIDUE = [
+    (None, None), ("", None), (" \n ", None), ("Heat {{ temp }} to boil.", "placeholder"), ("Use `{{ temp }}` in the template.", None), ("```\n${NAME}\n```\nDone well.", None), ("Add [INSERT SOLVENT HERE] now.", "placeholder"),
         ("The set {1, 2} is small.", None), ("x <b>bold</b> y", None), ("Stir <solvent> for 2 h.", "placeholder"), ("Lorem ipsum dolor sit amet consectetur adipiscing elit.", "filler"), ("The intern pasted lorem ipsum into the draft.", None),
         ("404 Not Found\nThe record x_1 you asked for could not be found on this server.", "page"), ("Menu\nSearch\n\nPlease enable JavaScript to continue.\n\nBack to top", "page"), ("Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "page"),
         ("The vendor portal returned error 404 for lot 7, so we ordered elsewhere.", None), ("Our viewer needs JavaScript; the static image is attached.", None), ("Seite nicht gefunden (Fehler 404).", "page"), ("请启用 JavaScript 以继续浏览。", "page"),
-    ],
-)
-def test_residue_labels(text, label):
-    assert rules.label(text) == label
+        ("Our viewer requires JavaScript. Please enable it and reload.", "page"), ("403 Forbidden\nPlease sign out and sign in again.", "page"), ("JavaScript is off. " + "Please turn it on in your browser" + " and reload the page" * 9 + ".", "page"),
+        ("You must enable JavaScript to use this site" + ", its catalog and its routes" * 7 + ".", "page"), ("Home About Contact Help Search Login Register Sitemap Privacy Terms Imprint Cookies Blog News FAQ\n404 Not Found", "page"),
+        ("JavaScript is not required to read this report.", None), ("We enabled JavaScript in the viewer and repeated the measurement.", None), ("The script needs 3 h on one node and reads all fingerprints.", None), ("404 Not Found\nPlease stir 5 g of the acid in 20 mL of water.", None),
+]
+
+
+def page_corpus():
+    """Pages with menus around them and pages with courtesy lines, as a corpus holds many of them, and content."""
+    bodies = ["404 Not Found", "502 Bad Gateway", "The page does not exist.", "JavaScript is disabled in your browser.", "Access denied.", "Your session has expired.", "The page you asked for could not be found on this server.", "The record cannot be displayed, since the connection to the database failed."]
+    frames = ["Menu\nSearch\n\n{}\n\nBack to top", "Home About Contact Help Search Login Register Sitemap Privacy Terms Imprint Cookies Blog News FAQ\n{}", "{}\nPlease sign out and sign in again.", "{}\nPlease enable it and reload."]
+    content = [f"Run {w} gave a clear oil. It was stored cold." for w in "alpha beta gamma delta".split()]
+    return [f.format(x) for f in frames for x in bodies] + content
+
+
+def labels_of(spark, texts):
+    rows = [(n, t) for n, t in enumerate([*texts, *page_corpus()])]
+    got = {r.doc_id: r.label for r in residue.residue_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    return [got.get(n) for n in range(len(texts))], got
+
+
+def test_residue_labels(spark):
+    got, every = labels_of(spark, [t for t, _ in RESIDUE])
+    assert [(t, g) for (t, _), g in zip(RESIDUE, got)] == RESIDUE
+    assert all(len(RESIDUE) + n in every for n in range(32)) and not any(len(RESIDUE) + n in every for n in range(32, 36))
+
+
+def test_passages_join_by_the_company_they_keep(spark):
+    told = "The host did not respond to the first call."  # a trusted passage inside content
+    body = ["Crystals formed over night in the cold room, then melted again on the bench.", "The yield was poor.", "Nothing else changed."]
+    texts = [f"{a}\n{x}" for a in ("404 Not Found", "The page does not exist.", "Access to this page was denied.") for x in ("Nichts da.", "Geh heim, bitte.")]
+    texts += ["Nichts da. Geh heim, bitte."] + [" ".join([told, *body[:k]]) for k in (1, 2, 3)] * 3 + [" ".join(body)] * 5
+    got, _ = labels_of(spark, texts)
+    assert got[:7] == ["page"] * 7 and not any(got[7:])
 
 
 def test_residue_spreads_over_near_duplicates(spark):
@@ -183,16 +209,16 @@ def test_links_of_near_duplicates_against_brute_force(spark):
     rng = random.Random(8)
     texts = []
     for _ in range(40):
-        own = [rng.choice("abcdefgh") + str(rng.randrange(900)) + "x" for _ in range(60)]
+        own = [rng.choice("abcdefgh") + "".join(rng.choice("klmnopqrst") for _ in range(3)) for _ in range(60)]
         texts.append(own)
         for _ in range(3):
             t = list(own)
             t[rng.randrange(60)] = "changed"
             texts.append(t)
     docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id bigint, text string")
-    marked = residue.mark_documents(docs, "doc_id", "text").cache()
+    marked = residue.mark_documents(docs, "doc_id", "text", residue.table_plan(160)).cache()
     of = {r.doc: r.cls for r in marked.collect()}
-    core = {r.cls: r.core.split(" ") for r in marked.collect()}
+    core = {of[n]: t for n, t in enumerate(texts)}
     grams = {c: {tuple(t[i : i + 5]) for i in range(len(t) - 4)} for c, t in core.items()}
     want = {(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
     got = {(r.a, r.b) for r in residue.near_classes(marked).collect()}
@@ -216,24 +242,12 @@ def test_query_draws_the_records_of_the_whole_tables(spark, tmp_path):
     assert [r.pos for r in got.where("mix_id = 1 and shard = 3").orderBy("pos").collect()] == list(range(len(shard))) and shard != sorted(shard)
 
 
-@pytest.mark.parametrize(
-    "text, label",
-    [
-        ("Our viewer requires JavaScript. Please enable it and reload.", "page"), ("403 Forbidden\nPlease sign out and sign in again.", "page"), ("JavaScript is off. " + "Please turn it on in your browser" + " and reload the page" * 9 + ".", "page"),
-        ("You must enable JavaScript to use this site" + ", its catalog and its routes" * 7 + ".", "page"), ("Home About Contact Help Search Login Register Sitemap Privacy Terms Imprint Cookies Blog News FAQ\n404 Not Found", "page"),
-        ("JavaScript is not required to read this report.", None), ("We enabled JavaScript in the viewer and repeated the measurement.", None), ("The script needs 3 h on one node and reads all fingerprints.", None), ("404 Not Found\nPlease stir 5 g of the acid in 20 mL of water.", None),
-    ],
-)
-def test_pages_are_told_by_the_structure_of_their_sentences(text, label):
-    assert rules.label(text) == label
-
-
-def test_recall_on_other_phrasings():
+def test_recall_on_other_phrasings(spark):
     import pathlib
     import runpy
 
     texts = runpy.run_path(str(pathlib.Path(__file__).with_name("phrasings.py")))
-    assert sum(rules.label(t) == "page" for t in texts["PAGES"]) >= 15 and not any(rules.label(t) for t in texts["CONTENT"])
+    assert sum(g == "page" for g in labels_of(spark, texts["PAGES"])[0]) >= 15 and not any(labels_of(spark, texts["CONTENT"])[0])
 
 
 def test_the_tree_draws_for_the_cases_too(spark, tmp_path, monkeypatch):
