@@ -207,7 +207,8 @@ def shard_quotas(quotas: DataFrame, shard_size: int = SHARD_SIZE, seed: int = 17
     roots = rows.select("mix_id", shards.alias("n_shards"), "total", F.lit(0).cast("bigint").alias("lo"), shards.alias("hi"), F.col("e.quota").alias("quotas"), F.transform("e", lambda _: F.lit(0).cast("bigint")).alias("offsets"))
     places = rows.select(F.col("mix_id"), F.col("e.dataset_pos").alias("places"))
     top = roots.mapInPandas(lambda it: _split(it, seed, SUBTREE), _NODE)
-    leaves = top.repartition("mix_id", "lo").mapInPandas(lambda it: _split(it, seed, 1), _NODE)
+    parts = int(quotas.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, else small rows would be drawn in one task
+    leaves = top.repartition(parts, "mix_id", "lo").mapInPandas(lambda it: _split(it, seed, 1), _NODE)
     drawn = leaves.join(places, "mix_id").select("mix_id", F.col("lo").alias("shard"), F.explode(F.arrays_zip("places", "quotas", "offsets")).alias("d"))
     return drawn.select("mix_id", "shard", F.col("d.places").alias("dataset_pos"), F.col("d.quotas").alias("n"), F.col("d.offsets").alias("offset")).where(F.col("n") > 0)
 
