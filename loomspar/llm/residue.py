@@ -52,14 +52,18 @@ TOKEN = re.compile(r"[^\W_]+(?:[_-][^\W_]+)*")
 
 
 class Codes(dict):
-    """64-bit codes of words, made when first asked for; words with a digit share one."""
+    """Of each word its masked form (words with a digit share one) and a 64-bit code, made when first asked for."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[str, int]:
         if len(self) > 500_000:
             self.clear()
         plain = "#" if any(map(str.isdigit, word)) else word
-        self[word] = code = int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return code
+        self[word] = both = plain, int.from_bytes(digest(plain.encode("utf-8", "surrogatepass")), "little")
+        return both
+
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=8).digest()
 
 
 CODES = Codes()
@@ -71,12 +75,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def folded(codes: np.ndarray) -> int:
-    """One signed 64-bit digest of a sequence of codes."""
-    place = np.arange(1, len(codes) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return int(mixed(mixed(codes + place).sum(keepdims=True) + np.uint64(len(codes))).view(np.int64)[0])
-
-
 def shingle_hashes(codes: np.ndarray) -> np.ndarray:
     """Distinct 64-bit hashes of the five-word shingles; a shorter text is one shingle."""
     n = max(1, len(codes) - SHINGLE + 1)
@@ -120,28 +118,26 @@ def mark_documents(docs: DataFrame, key: str, text: str, plan: tuple[int, int])
             plain = html.unescape(plain)
         if own is None and rules.has_latin_filler(plain):
             own = "filler"
-        codes, seen = [], {}
+        every, seen, latin = [], {}, rules.may_be_latin(plain)
         for p in rules.passages(plain):
-            tokens = TOKEN.findall(p.lower())
-            if not tokens:
+            low = p.lower()
+            words = [CODES[w] for w in TOKEN.findall(low)]
+            if not words:
                 continue
-            c = np.array([CODES[w] for w in tokens], np.uint64)
-            codes.append(c)
-            at = folded(c)
+            every += [code for _, code in words]
+            at = int.from_bytes(digest(" ".join([form for form, _ in words]).encode("utf-8", "surrogatepass")), "little", signed=True)
             if at not in seen:
-                if rules.is_filler(p):
-                    own = own or "filler"
-                    seed = "filler"
-                else:
-                    seed = "filler" if rules.is_latin(p) else "page" if rules.is_page_part(p) else "request" if rules.is_request(p) else None
-                seen[at] = seed, len(tokens)
-        if not codes:
+                seed = rules.trusted(low, latin)
+                if seed == "filler!":
+                    seed, own = "filler", own or "filler"
+                seen[at] = seed, len(words)
+        if not every:
             return own, None, 0, None, None, None, None
-        every = np.concatenate(codes)
-        hashes = shingle_hashes(every)
+        codes = np.array(every, np.uint64)
+        hashes = shingle_hashes(codes)
         h = simhash(hashes, words64)
         parts = h[: bits * tables].reshape(tables, bits) @ weights[0]
-        return own, folded(every), len(every), list(seen.items()), int(np.packbits(h[:64]).view(np.int64)[0]), parts, hashes.view(np.int64)
+        return own, int.from_bytes(digest(codes.tobytes()), "little", signed=True), len(every), list(seen.items()), int(np.packbits(h[:64]).view(np.int64)[0]), parts, hashes.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("cls", pa.int64()), ("seed", pa.string()), ("words", pa.int32())]))

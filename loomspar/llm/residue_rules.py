@@ -76,21 +76,21 @@ FILLER = re.compile(
     re.I,
 )
 
-SCRIPTS = re.compile(r"java\s?-?script|\bjs\b|\bscript(?:s|ing)?\b|\bskripte?\b|\bcookies\b|\b(?:your|ihrem?|votre|su) (?:web )?(?:browser|navigateur|navegador)\b|脚本|浏览器", re.I)
-SWITCHED = re.compile(r"\b(?:enabl|activ|aktivier|habilit|requir|disabl|désactiv|deaktiv|allow|need|block|support|nécess|benötig|erforder)|\b(?:turn|switch)(?:ed|ing)? (?:\w+ )?o(?:n|ff)\b|\bis off\b|\b(?:only|not|start) (?:\w+ )?with(?:out)?\b|启用|开启|打开|需要|禁用", re.I)
+# these are looked for in lower case
+SCRIPTS = re.compile(r"java\s?-?script|\bjs\b|\bscript(?:s|ing)?\b|\bskripte?\b|\bcookies\b|\b(?:your|ihrem?|votre|su) (?:web )?(?:browser|navigateur|navegador)\b|脚本|浏览器")
+SCRIPT_HINTS = ("script", "js", "skript", "cookie", "browser", "naviga", "脚本", "浏览器")  # every match of SCRIPTS holds one
+SWITCHED = re.compile(r"\b(?:enabl|activ|aktivier|habilit|requir|disabl|désactiv|deaktiv|allow|need|block|support|nécess|benötig|erforder)|\b(?:turn|switch)(?:ed|ing)? (?:\w+ )?o(?:n|ff)\b|\bis off\b|\b(?:only|not|start) (?:\w+ )?with(?:out)?\b|启用|开启|打开|需要|禁用")
 SUBJECT = re.compile(
     r"\b(?:pages?|site|website|record|item|document|file|url|address|entry|resource|content|viewer|server|service|session|request|access|connection|upstream|gateway|host|database|application|browser|permission|seite|datei|eintrag|server\w*|zugriff|dienst|serveur|accès|página|servidor|acceso)\b|页面|网页|服务器|访问|会话",
-    re.I,
 )
 FAILED = re.compile(
     r"\b(?:not|n[’']t|no longer|cannot|can[’']t|unable to|failed to|could not) (?:be )?(?:\w+ )?(?:found|exist|available|displayed|loaded|opened|open|load|shown|respond|answer|connect|find|reach|reached|permitted|supported|valid)\b|\b(?:does|did|do) not (?:exist|respond|answer|have permission)|\bunavailable\b|\bdenied\b|\bforbidden\b|\bexpired\b|\brestricted\b|\btimed? ?-?out\b|\btook too long\b|\b(?:has|was|been) (?:been )?(?:removed|deleted|blocked)\b|\bmoved (?:without|permanently)\b"
     r"|\binternal error\b|\bis (?:down|offline|under maintenance)\b|\bnicht (?:gefunden|verfügbar|erreichbar)\b|\bexistiert nicht\b|\bverweigert\b|\bserverfehler\b|\bintrouvable\b|\bn[’']existe pas\b|\brefusé\b|\bindisponible\b|\bno (?:encontrad[ao]|existe|disponible)\b|\bdenegado\b|\b(?:error|problema|erreur|fehler)\b.{0,30}\b(?:servidor|serveur|server)\b|不存在|找不到|错误|被拒绝|已过期|无法",
-    re.I,
 )
 STATUS = r"(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|request timeout|conflict|gone|payload too large|uri too long|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)"
-STATUS_LINE = re.compile(rf"^\W*(?:(?:http(?:/\d\.\d)?|status|error|fehler|erreur|código|code)\W*)*[45]\d\d(?:\W+{STATUS})?\W*$|^\W*{STATUS}\W*(?:\(?[45]\d\d\)?)?\W*$|^\W*(?:uncaught |unhandled )?[\w.]*(?:error|exception|traceback)\b(?: page| \(most recent call last\))?\W*$", re.I)
+STATUS_LINE = re.compile(rf"^\W*(?:(?:http(?:/\d\.\d)?|status|error|fehler|erreur|código|code)\W*)*[45]\d\d(?:\W+{STATUS})?\W*$|^\W*{STATUS}\W*(?:\(?[45]\d\d\)?)?\W*$|^\W*(?:uncaught |unhandled )?[\w.]*(?:error|exception|traceback)\b(?: page| \(most recent call last\))?\W*$")
 # fixed values: notices of widespread public software that name neither a subject nor a script
-NOTICES = re.compile(r"^\W*(?:something went wrong|an error (?:has )?occurred|checking your browser\b.*|(?:please )?verify (?:that )?you are (?:a )?human\b.*|just a moment|ein fehler ist aufgetreten|une erreur est survenue|ha ocurrido un (?:error|problema)\b.*|系统繁忙)\W*$", re.I)
+NOTICES = re.compile(r"^\W*(?:something went wrong|an error (?:has )?occurred|checking your browser\b.*|(?:please )?verify (?:that )?you are (?:a )?human\b.*|just a moment|ein fehler ist aufgetreten|une erreur est survenue|ha ocurrido un (?:error|problema)\b.*|系统繁忙)\W*$")
 # what a passage of a page does not do: a first person who tells what they did, a need denied, an amount
 TOLD = re.compile(
     r"\b(?:we|i)\s+(?!(?:noticed|detected|encountered|needed|failed|tried|could|cannot|can)\b)(?:\w+ed|ran|wrote|sent|took|found|bought|got|made|did|saw)\b|\b(?:wir|ich) haben?\b|\bnous avons\b|\bhemos\b|\b(?:not|no longer) (?:needed|required|necessary)\b|\bworks? without\b|\bn[’']est pas nécessaire\b"
@@ -98,7 +98,7 @@ TOLD = re.compile(
     re.I,
 )
 # a request to the reader to try another way: it goes with a page and says nothing by itself
-REQUEST = re.compile(r"^\W*(?:please|bitte|veuillez|por favor|请)|\b(?:try again|reload|refresh|sign (?:in|out)|log ?(?:in|out)|go back|check the address|contact (?:the|your) \w+|retry|enable it|turn (?:it|them) on)\b", re.I)
+REQUEST = re.compile(r"^\W*(?:please|bitte|veuillez|por favor|请)|\b(?:try again|reload|refresh|sign (?:in|out)|log ?(?:in|out)|go back|check the address|contact (?:the|your) \w+|retry|enable it|turn (?:it|them) on)\b")
 SENTENCE = re.compile(r"\n+|(?<=[.!?…])\s+|(?<=[。！？])|\s[–—|·]\s|[;；]\s?")
 
 
@@ -119,32 +119,49 @@ def has_placeholder(plain: str) -> bool:
     return "<" in plain and any(not set(re.split(r"[ _-]", m[1].lower())) & HTML_TAGS for m in ANGLE.finditer(plain))
 
 
-def has_latin_filler(plain: str) -> bool:
+def may_be_latin(plain: str) -> bool:
     low = plain.lower()
-    if any(w in low for w in ("dolor", "amet", "eiusmod", "magna", "nostrud", "labor", "ullamco")):
+    return any(w in low for w in ("dolor", "amet", "eiusmod", "magna", "nostrud", "labor", "ullamco"))
+
+
+def has_latin_filler(plain: str) -> bool:
+    if may_be_latin(plain):
         run = 0
-        for w in WORD.findall(low):
+        for w in WORD.findall(plain.lower()):
             run = run + 1 if w in FILLER_WORDS else 0
             if run >= 6:
                 return True
     return False
 
 
-def is_filler(passage: str) -> bool:
-    return bool(FILLER_HINT.search(passage.lower()) and FILLER.search(passage))
+def is_filler(low: str) -> bool:
+    return bool(FILLER_HINT.search(low) and FILLER.search(low))
 
 
-def is_latin(passage: str) -> bool:
-    w = WORD.findall(passage.lower())
+def is_latin(low: str) -> bool:
+    w = WORD.findall(low)
     return len(w) >= 3 and sum(x in FILLER_WORDS for x in w) >= 0.8 * len(w)
 
 
-def is_page_part(passage: str) -> bool:
+def is_page_part(low: str) -> bool:
     """Whether a passage alone shows that it belongs to an error page or a notice about scripts."""
-    if STATUS_LINE.search(passage) or NOTICES.search(passage):
+    if STATUS_LINE.search(low) or NOTICES.search(low):
         return True
-    return bool(SCRIPTS.search(passage) and SWITCHED.search(passage) or SUBJECT.search(passage) and FAILED.search(passage)) and not TOLD.search(passage)
+    scripts = any(h in low for h in SCRIPT_HINTS) and SCRIPTS.search(low)
+    return bool(scripts and SWITCHED.search(low) or SUBJECT.search(low) and FAILED.search(low)) and not TOLD.search(low)
+
+
+def is_request(low: str) -> bool:
+    return bool(REQUEST.search(low)) and not TOLD.search(low)
 
 
-def is_request(passage: str) -> bool:
-    return bool(REQUEST.search(passage)) and not TOLD.search(passage)
+def trusted(low: str, latin: bool = True) -> str | None:
+    """Of a passage in lower case: ``filler!`` for filler wherever it stands, ``filler`` for Latin filler,
+    ``page``, ``request`` or None; ``latin``: whether the text holds words of Latin filler at all."""
+    if is_filler(low):
+        return "filler!"
+    if latin and is_latin(low):
+        return "filler"
+    if is_page_part(low):
+        return "page"
+    return "request" if is_request(low) else None
