@@ -63,3 +63,37 @@ def read_stamped(spark: SparkSession, path: str, version: int, source_hash: str)
     df = spark.read.parquet(path)
     stale = df.where((F.col("_version") != version) | (F.col("_source") != source_hash))
     return df.drop("_version", "_source") if stale.isEmpty() else None
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON array of records as rows; an empty array is an error."""
+    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    if df.isEmpty():
+        raise ValueError(f"no records in {path}")
+    return df
+
+
+def read_vocabulary(spark: SparkSession, path: str, schema: str, required: tuple[str, ...]) -> DataFrame:
+    """Vocabulary records by line; a record without one of the required fields is an error."""
+    df = spark.read.schema(schema).json(path)
+    lacking = df.where(" or ".join(f"`{c}` is null" for c in required))
+    if not lacking.isEmpty():
+        raise ValueError(f"a record of {path} lacks one of {required}")
+    return df
+
+
+def read_numbered_files(spark: SparkSession, path: str, pattern: str, default: bytes | None = None) -> DataFrame:
+    """``(number, content)``: files by the number in their path; files without number or content are
+    skipped, ``default`` takes the place of missing content if it is given."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    rows = files.select(F.regexp_extract("path", pattern, 1).alias("n"), F.when(F.length("content") > 0, F.col("content")).alias("content")).where("n <> ''")
+    rows = rows.select(F.col("n").cast("bigint").alias("number"), "content")
+    return rows.where("content is not null") if default is None else rows.withColumn("content", F.coalesce("content", F.lit(default)))
+
+
+def union_of(*tables: DataFrame) -> DataFrame:
+    """Tables of any columns put together by name, with the place of their source in ``source_ord``."""
+    out = tables[0].withColumn("source_ord", F.lit(0))
+    for i, t in enumerate(tables[1:], 1):
+        out = out.unionByName(t.withColumn("source_ord", F.lit(i)), allowMissingColumns=True)
+    return out

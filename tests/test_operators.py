@@ -60,6 +60,9 @@ def test_search_cuts_cycles_and_reports_unsolved(spark):
     t, leaves = spark.createDataFrame([("a",), ("c",), ("l",)], "node string"), spark.createDataFrame([("l",)], "node string")
     got = {r.node: (r.cost, r.trace) for r in routes.find_routes(t, edges, leaves, 2, 3).collect()}
     assert got == {"a": (2, "<<<l>.<l>:s:b>:r:a>"), "c": (None, None), "l": (0, "<l>")}
+    edges = spark.createDataFrame([("a", "r", ["b"]), ("b", "r", ["a"]), ("a", "s", ["l"])], "product string, rule string, parts array<string>")
+    deep = {(r.node, r.cost, r.trace) for r in routes.find_routes(t.where("node = 'a'"), edges, leaves, 3, 5).collect()}
+    assert deep == {("a", 1, "<<l>:s:a>")}
 
 
 def test_division_and_grid_join(spark):
@@ -97,7 +100,7 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("g string, n int").parquet(str(tmp_path / "in"))
     sinks.append_results(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
-    q = sinks.packed_batches(stream, "g", "n", 10).writeStream.format("memory").queryName("packed").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    q = sinks.packed_batches(stream, "g", "n", 10, "n").writeStream.format("memory").queryName("packed").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     loads = spark.sql("select batch, sum(size) s from packed group by batch").collect()
     assert sum(r.s for r in loads) == 22 and all(r.s <= 10 for r in loads)
