@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-10  # fixed value of the divergence's smoothing
@@ -52,8 +52,8 @@ def histogram(df: DataFrame, bin_: Column, name: str) -> DataFrame:
 def js_distance(p: DataFrame, q: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Jensen-Shannon distance (natural logarithm) of two histograms ``(bin, p)`` and ``(bin, q)``."""
     both = p.join(q, [*by, "bin"], "full").withColumns({"p": F.coalesce("p", F.lit(0)), "q": F.coalesce("q", F.lit(0))})
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    both = both.withColumns({"p": F.col("p") / F.sum("p").over(w), "q": F.col("q") / F.sum("q").over(w)})
+    totals = both.groupBy(*by).agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))  # one row per group
+    both = (both.join(totals, by) if by else both.crossJoin(totals)).withColumns({"p": F.col("p") / F.col("np"), "q": F.col("q") / F.col("nq")})
     m = (F.col("p") + F.col("q")) / 2
     part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / m)).otherwise(0.0)
     return both.groupBy(*by).agg(F.sqrt(F.greatest(F.sum(part("p") + part("q")) / 2, F.lit(0.0))).alias("js"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,7 +21,9 @@ def find_routes(targets: DataFrame, edges: DataFrame, leaves: DataFrame, depth:
     some rule's parts are all solved within the depth left; cost counts the steps. The frontier of nodes
     is expanded level by level (distinct, so shared nodes are expanded once), then routes are combined
     from the deepest level up; each node keeps its ``k`` cheapest (ties by trace). Parts solved at
-    different cost combine freely, up to three parts. A route never uses its own product as a part.
+    different cost combine freely, up to three parts; rules of more parts are not searched. A route never
+    makes its own product on the way, however deep: since a route through a product costs more than that
+    product's own, the cheapest of a node is never among those left out.
     """
     leaf = leaves.select("node").distinct().withColumn("leaf", F.lit(True))
     levels, front = [], targets.select("node").distinct()
@@ -41,6 +44,8 @@ def find_routes(targets: DataFrame, edges: DataFrame, leaves: DataFrame, depth:
                 "product", "rule", "parts", "n", (F.col("cost") + F.coalesce(f"c{i}", F.lit(0))).alias("cost"),
                 F.when(F.col("n") > i, F.concat("traces", F.array(f"t{i}"))).otherwise(F.col("traces")).alias("traces"),
             )
+        again = F.concat(F.lit(":"), "product", F.lit(">"))
+        rows = rows.where(~F.exists("traces", lambda t: F.contains(t, again)))
         built = rows.select(F.col("product").alias("node"), "cost", F.concat(F.lit("<"), F.array_join("traces", "."), F.lit(":"), "rule", F.lit(":"), F.col("product"), F.lit(">")).alias("trace")).distinct()
         best = F.row_number().over(Window.partitionBy("node").orderBy("cost", "trace"))
         solved = cut_lineage(built.withColumn("r", best).where(F.col("r") <= k).drop("r"))
@@ -50,6 +55,20 @@ def find_routes(targets: DataFrame, edges: DataFrame, leaves: DataFrame, depth:
     return targets.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("cost", none.cast("int")).alias("cost"), "trace")
 
 
+def deepen(targets: DataFrame, edges: DataFrame, leaves: DataFrame, depths: list[int], k: int) -> DataFrame:
+    """Iterative deepening: ``(node, depth, cost, trace)``; each depth searches only the targets that no
+    smaller one solved, and those that none solves have null depth and cost."""
+    todo, found = targets.select("node").distinct(), []
+    for depth in depths:
+        got = cut_lineage(find_routes(todo, edges, leaves, depth, k).where("cost is not null").withColumn("depth", F.lit(depth)))
+        found.append(got)
+        todo = cut_lineage(todo.join(got.select("node").distinct(), "node", "left_anti"))
+        if todo.isEmpty():
+            break
+    solved = reduce(DataFrame.unionByName, found)
+    return targets.select("node").distinct().join(solved, "node", "left").select("node", "depth", "cost", "trace")
+
+
 def parse_one(trace: str | None) -> list[dict]:
     """Steps of a trace, children first: brackets nest, rule and product are the last two ``:`` parts."""
     if not trace:

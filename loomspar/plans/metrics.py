@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspar.functions import split_name, trimmed
@@ -16,11 +17,13 @@ def metric_roll_up(spark, d):
 
 
 def route_rates(spark, d):
-    """Success, reconstruction, catalog and forward rates; denominators are the distinct queries."""
+    """Success, reconstruction, catalog and forward rates over each query's best row; denominators are the distinct queries."""
     v = table(spark, d, "route_verify").where(F.col("query_smiles").isNotNull())
-    t = lambda c: F.max(F.coalesce(F.col(c), F.lit(False)).cast("int"))
-    q = v.groupBy("query_smiles").agg(t("found").alias("f"), t("reconstructs_searched").alias("r"), t("catalog_only").alias("c"), t("forward_replay_ok").alias("w"))
-    return q.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("f"), 9).alias("success"), F.round(F.avg("r"), 9).alias("reconstruction"), F.round(F.avg("c"), 9).alias("catalog"), F.round(F.avg("w"), 9).alias("forward"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    order = [flag(c).desc() for c in ("found", "reconstructs_query", "reconstructs_searched", "forward_replay_ok", "catalog_only")] + [F.coalesce("n_steps", F.lit(99)), "verify_id"]
+    q = v.withColumn("n", F.row_number().over(Window.partitionBy("query_smiles").orderBy(*order))).where("n = 1")
+    rate = lambda c, name: F.round(F.avg(flag(c).cast("int")), 9).alias(name)
+    return q.agg(F.count(F.lit(1)).alias("n_queries"), rate("found", "success"), rate("reconstructs_searched", "reconstruction"), rate("reconstructs_query", "vs_query"), rate("catalog_only", "catalog"), rate("forward_replay_ok", "forward"))
 
 
 def bounded_lines(spark, d):
@@ -41,26 +44,6 @@ def cascade_counts(spark, d):
     return table(spark, d, "lineitem").select("l_returnflag", *steps).groupBy("l_returnflag").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count("c").alias("n_c"))
 
 
-def uniqueness_novelty(spark, d):
-    """Distinct share, and the share of distinct ligands outside the training split, per split.
-
-    As its SQL has it: every delivered row, splits only where spelled train, val or test; see whole_uniqueness_novelty.
-    """
-    i = table(spark, d, "dataset_items").where(F.col("ligand_smiles").isNotNull() & F.col("split").isin("train", "val", "test")).select("split", "ligand_smiles")
-    known = i.where("split = 'train'").select("ligand_smiles").distinct().withColumn("known", F.lit(1))
-    per = i.groupBy("split", "ligand_smiles").agg(F.count(F.lit(1)).alias("n")).join(known, "ligand_smiles", "left")
-    return per.groupBy("split").agg(F.round(F.count(F.lit(1)) / F.sum("n"), 9).alias("uniqueness"), F.round(F.count_if(F.col("known").isNull()) / F.count(F.lit(1)), 9).alias("novelty"))
-
-
-def split_precision_recall(spark, d):
-    """Pockets of test that stand in train, as its SQL has it: splits only where spelled so; see whole_precision_recall."""
-    i = table(spark, d, "dataset_items").where(F.col("pocket_seq").isNotNull())
-    a, b = i.where("split = 'train'").select("pocket_seq").distinct(), i.where("split = 'test'").select("pocket_seq").distinct()
-    both = b.join(a, "pocket_seq", "left_semi").agg(F.count(F.lit(1)).alias("n_both"))
-    n = both.join(F.broadcast(a.agg(F.count(F.lit(1)).alias("n_ref")))).join(F.broadcast(b.agg(F.count(F.lit(1)).alias("n_sample"))))
-    return n.select("n_both", F.round(F.col("n_both") / F.col("n_sample"), 9).alias("precision"), F.round(F.col("n_both") / F.col("n_ref"), 9).alias("recall"))
-
-
 def _items(spark, d):
     """Each item once, as last delivered, by the usual name of its split; ligand and pocket without layout, null where blank."""
     i = table(spark, d, "dataset_items").where("item_id is not null").groupBy("item_id").agg(F.max(F.struct("ingested_at", "split", "ligand_smiles", "pocket_seq")).alias("r")).select("r.*")
@@ -135,20 +118,23 @@ def flag_counts(spark, d):
     return v.groupBy("n_steps").agg(F.count_if(c).alias("n_valid"), F.count_if(~c).alias("n_invalid"), F.count_if(c.isNull()).alias("n_unknown"), F.when(known > 0, F.round(F.count_if(c) / known, 9)).alias("ratio"), F.bool_and(F.coalesce(c, F.lit(False))).alias("all_ok"))
 
 
-QUERIES = {f.__name__: f for f in (metric_roll_up, route_rates, bounded_lines, failing_column, cascade_counts, uniqueness_novelty, split_precision_recall, whole_uniqueness_novelty, whole_precision_recall, category_histogram, js_of_halves, js_of_top_bins, kl_of_halves, value_summary, series_correlation, pivot_counts, geometric_means, flag_counts)}
+QUERIES = {f.__name__: f for f in (metric_roll_up, route_rates, bounded_lines, failing_column, cascade_counts, whole_uniqueness_novelty, whole_precision_recall, category_histogram, js_of_halves, js_of_top_bins, kl_of_halves, value_summary, series_correlation, pivot_counts, geometric_means, flag_counts)}
 _H = "WITH h AS (SELECT floor(value) AS bin, count(*) FILTER (event_id % 2 = 0) AS p0, count(*) FILTER (event_id % 2 = 1) AS q0 FROM events WHERE value IS NOT NULL GROUP BY 1)"
 _JS = "SELECT round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)), 8) AS js FROM n"
 _num = lambda c: f"CASE WHEN coalesce(found, false) AND NOT isnan(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END"
+_ITEMS = r"""WITH i AS (SELECT item_id, arg_max(struct_pack(split, l := ligand_smiles, p := pocket_seq), ingested_at) AS r FROM dataset_items WHERE item_id IS NOT NULL GROUP BY 1),
+ n AS (SELECT lower(regexp_replace(r.split, '^\s+|\s+$', '', 'g')) AS s, nullif(regexp_replace(r.l, '^\s+|\s+$', '', 'g'), '') AS ligand, nullif(upper(regexp_replace(r.p, '[^\p{L}]+', '', 'g')), '') AS pocket FROM i),
+ t AS (SELECT CASE WHEN s IN ('train', 'training', 'trn') THEN 'train' WHEN s IN ('val', 'valid', 'validation', 'validate', 'dev', 'development') THEN 'val' WHEN s IN ('test', 'testing', 'tst') THEN 'test' END AS split, ligand, pocket FROM n)"""
 SQL = {
+    "whole_uniqueness_novelty": _ITEMS + " SELECT split, round(count(DISTINCT ligand) / count(*), 9) AS uniqueness, round(count(DISTINCT CASE WHEN ligand NOT IN (SELECT ligand FROM t WHERE split = 'train' AND ligand IS NOT NULL) THEN ligand END) / count(DISTINCT ligand), 9) AS novelty FROM t WHERE split IS NOT NULL AND ligand IS NOT NULL GROUP BY 1",
+    "whole_precision_recall": _ITEMS + ", a AS (SELECT pocket, bool_or(split = 'train') AS a, bool_or(split = 'test') AS b FROM t WHERE split IS NOT NULL AND pocket IS NOT NULL GROUP BY 1) SELECT count(*) FILTER (a AND b) AS n_both, round(count(*) FILTER (a AND b) / count(*) FILTER (b), 9) AS precision, round(count(*) FILTER (a AND b) / count(*) FILTER (a), 9) AS recall FROM a",
     "metric_roll_up": "SELECT 'validity' AS metric, round(avg(CAST(coalesce(found, false) AS INT)), 9) AS value, CAST(NULL AS DOUBLE) AS std FROM route_verify"
     + "".join(f" UNION ALL SELECT '{c}', round(avg({_num(c)}), 9), round(stddev_pop({_num(c)}), 9) FROM route_verify" for c in ("n_steps", "n_proposed_bbs", "similarity_to_searched", "similarity_to_query"))
     + "".join(f" UNION ALL SELECT '{c}', round(avg(CASE WHEN coalesce(found, false) THEN CAST(coalesce({c}, false) AS INT) END), 9), NULL FROM route_verify" for c in ("forward_replay_ok", "catalog_only", "reconstructs_query")),
-    "route_rates": "WITH q AS (SELECT query_smiles, max(CAST(coalesce(found, false) AS INT)) AS f, max(CAST(coalesce(reconstructs_searched, false) AS INT)) AS r, max(CAST(coalesce(catalog_only, false) AS INT)) AS c, max(CAST(coalesce(forward_replay_ok, false) AS INT)) AS w FROM route_verify WHERE query_smiles IS NOT NULL GROUP BY 1) SELECT count(*) AS n_queries, round(avg(f), 9) AS success, round(avg(r), 9) AS reconstruction, round(avg(c), 9) AS catalog, round(avg(w), 9) AS forward FROM q",
+    "route_rates": "WITH v AS (SELECT coalesce(found, false) AS f, coalesce(reconstructs_query, false) AS q, coalesce(reconstructs_searched, false) AS r, coalesce(forward_replay_ok, false) AS w, coalesce(catalog_only, false) AS c, row_number() OVER (PARTITION BY query_smiles ORDER BY coalesce(found, false) DESC, coalesce(reconstructs_query, false) DESC, coalesce(reconstructs_searched, false) DESC, coalesce(forward_replay_ok, false) DESC, coalesce(catalog_only, false) DESC, coalesce(n_steps, 99), verify_id) AS n FROM route_verify WHERE query_smiles IS NOT NULL) SELECT count(*) AS n_queries, round(avg(CAST(f AS INT)), 9) AS success, round(avg(CAST(r AS INT)), 9) AS reconstruction, round(avg(CAST(q AS INT)), 9) AS vs_query, round(avg(CAST(c AS INT)), 9) AS catalog, round(avg(CAST(w AS INT)), 9) AS forward FROM v WHERE n = 1",
     "bounded_lines": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 10 AND 40 AND l_discount >= 0.02 GROUP BY 1",
     "failing_column": "SELECT CAST(0 AS BIGINT) AS n_pass, count(*) AS n FROM lineitem",
     "cascade_counts": "SELECT l_returnflag, count(l_quantity) AS n_a, count(CASE WHEN l_quantity > 10 THEN l_extendedprice END) AS n_b, count(CASE WHEN l_quantity > 10 AND l_extendedprice > 20000 THEN l_tax END) AS n_c FROM lineitem GROUP BY 1",
-    "uniqueness_novelty": "WITH i AS (SELECT split, ligand_smiles AS l, count(*) AS n FROM dataset_items WHERE ligand_smiles IS NOT NULL AND split IN ('train', 'val', 'test') GROUP BY ALL) SELECT split, round(count(*) / sum(n), 9) AS uniqueness, round(count(*) FILTER (l NOT IN (SELECT l FROM i WHERE split = 'train')) / count(*), 9) AS novelty FROM i GROUP BY split",
-    "split_precision_recall": "WITH a AS (SELECT DISTINCT pocket_seq AS p FROM dataset_items WHERE split = 'train' AND pocket_seq IS NOT NULL), b AS (SELECT DISTINCT pocket_seq AS p FROM dataset_items WHERE split = 'test' AND pocket_seq IS NOT NULL), n AS (SELECT count(*) AS n_both FROM b WHERE p IN (SELECT p FROM a)) SELECT n_both, round(n_both / (SELECT count(*) FROM b), 9) AS precision, round(n_both / (SELECT count(*) FROM a), 9) AS recall FROM n",
     "category_histogram": "SELECT provider, count(*) AS n FROM (SELECT unnest(building_block_providers) AS provider FROM routes) GROUP BY 1",
     "js_of_halves": _H + ", n AS (SELECT p0 / sum(p0) OVER () AS p, q0 / sum(q0) OVER () AS q FROM h) " + _JS,
     "js_of_top_bins": _H + ", t AS (SELECT * FROM h WHERE p0 > 0 ORDER BY p0 DESC, bin LIMIT 10), n AS (SELECT p0 / sum(p0) OVER () AS p, q0 / sum(q0) OVER () AS q FROM t) " + _JS,

@@ -26,7 +26,7 @@ def argmax_rows(spark, d):
 
 def _tree(spark, d):
     """Parent of event n is n // 2; the counter is 1 for purchases."""
-    e = table(spark, d, "events").where(F.col("event_id") > 0).select(F.col("event_id").alias("node"), (F.col("event_type") == "purchase").cast("bigint").alias("v"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("node"), (F.col("event_type") == "purchase").cast("bigint").alias("v"))
     return e.withColumn("parent", F.when(F.col("node") > 1, F.floor(F.col("node") / 2)))
 
 
@@ -39,24 +39,6 @@ def tree_paths(spark, d):
     return a.groupBy("node").agg(F.array_join(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("depth", "anc"))), lambda x: x["anc"].cast("string"))), "-").alias("path"))
 
 
-def customer_components(spark, d):
-    """Suppliers and parts linked by cheap lines, as connected components."""
-    li = table(spark, d, "lineitem").where("l_quantity <= 2").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))
-    return ops.components(li, "a", "b")
-
-
-def kept_subgraph(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 100 + 1).alias("t")).distinct()
-    nodes = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("node"))
-    all_nodes = li.select("g").distinct().join(nodes)
-    return ops.induced_subgraph(li.withColumnsRenamed({"s": "src", "t": "dst"}), all_nodes, "g", "node", "src", "dst")
-
-
-def node_triangles(spark, d):
-    o = table(spark, d, "orders").where(F.col("o_totalprice") > 300000).select((F.col("o_custkey") % 120).alias("a"), (F.col("o_orderkey") % 113).alias("b"))
-    return ops.triangles(o, "a", "b")
-
-
 def _part_links(spark, d):
     """Every line as a link of its part (even number) and its supplier (odd number), by their real keys."""
     return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_suppkey") * 2 + 1).alias("src"), (F.col("l_partkey") * 2).alias("dst")).distinct()
@@ -116,8 +98,8 @@ def conditional_sizes(spark, d):
     return h.select("a", "r", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("a")), 9).alias("p"))
 
 
-QUERIES = {f.__name__: f for f in (order_segments, softmax_weights, argmax_rows, tree_totals, tree_paths, customer_components, kept_subgraph, node_triangles, whole_components, whole_subgraph, whole_triangles, demeaned, density_validity, bandwidths, size_histogram, conditional_sizes)}
-_TREE = "WITH RECURSIVE t AS (SELECT event_id AS node, CASE WHEN event_id > 1 THEN event_id // 2 END AS parent, CAST(event_type = 'purchase' AS BIGINT) AS v FROM events WHERE event_id > 0), a AS (SELECT node, node AS anc, 0 AS depth FROM t UNION ALL SELECT a.node, t.parent, depth + 1 FROM a JOIN t ON t.node = a.anc WHERE t.parent IS NOT NULL AND t.parent > 0)"
+QUERIES = {f.__name__: f for f in (order_segments, softmax_weights, argmax_rows, tree_totals, tree_paths, whole_components, whole_subgraph, whole_triangles, demeaned, density_validity, bandwidths, size_histogram, conditional_sizes)}
+_TREE = "WITH RECURSIVE t AS (SELECT event_id AS node, CASE WHEN event_id > 1 THEN event_id // 2 END AS parent, CAST(event_type = 'purchase' AS BIGINT) AS v FROM events), a AS (SELECT node, node AS anc, 0 AS depth FROM t UNION ALL SELECT a.node, t.parent, depth + 1 FROM a JOIN t ON t.node = a.anc WHERE t.parent IS NOT NULL)"
 _DENS = "".join(f", m{i} AS (SELECT {', '.join(lv)}, avg(x) AS mu, stddev_pop(x) AS sd FROM l GROUP BY {', '.join(lv)} HAVING count(x) > 50)" for i, lv in enumerate(LEVELS))
 SQL = {
     "order_segments": "SELECT o_orderkey, count(l_quantity) AS n, coalesce(sum(l_quantity), 0) AS total, round(coalesce(sum(l_quantity), 0) / greatest(count(l_quantity), 1), 8) AS mean, round(sqrt(coalesce(var_pop(l_quantity) * count(l_quantity), 0) / (greatest(count(l_quantity) - 1, 1) + 1e-6)), 6) AS std, min(l_quantity) AS low, max(l_quantity) AS high FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
@@ -125,9 +107,8 @@ SQL = {
     "argmax_rows": "SELECT o_custkey, max(o_totalprice) AS high, arg_max(o_orderkey, struct_pack(o_totalprice, k := -o_orderkey)) AS at FROM orders GROUP BY 1",
     "tree_totals": _TREE + " SELECT a.anc AS node, sum(t.v) AS total, max(depth) AS height FROM a JOIN t ON t.node = a.node GROUP BY 1",
     "tree_paths": _TREE + " SELECT node, string_agg(CAST(anc AS VARCHAR), '-' ORDER BY depth DESC) AS path FROM a GROUP BY 1",
-    "customer_components": "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS x, l_suppkey * 2 + 1 AS y FROM lineitem WHERE l_quantity <= 2), b AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT x AS node, x AS other FROM b UNION SELECT r.node, b.y FROM r JOIN b ON b.x = r.other) SELECT node, min(other) AS comp FROM r GROUP BY 1",
-    "kept_subgraph": "WITH e AS (SELECT DISTINCT l_returnflag AS g, l_suppkey AS s, l_partkey % 100 + 1 AS t FROM lineitem), n AS (SELECT s_suppkey AS node, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier WHERE s_acctbal > 0) SELECT g, a.i AS s, b.i AS t FROM e JOIN n a ON a.node = e.s JOIN n b ON b.node = e.t",
-    "node_triangles": "WITH e AS (SELECT DISTINCT least(o_custkey % 120, o_orderkey % 113) AS u, greatest(o_custkey % 120, o_orderkey % 113) AS v FROM orders WHERE o_totalprice > 300000 AND o_custkey % 120 <> o_orderkey % 113), t AS (SELECT x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON y.u = x.v JOIN e z ON z.u = x.u AND z.v = y.v) SELECT node, count(*) AS n FROM (SELECT unnest([a, b, c]) AS node FROM t) GROUP BY 1",
+    "whole_subgraph": "WITH e AS (SELECT DISTINCT l_returnflag AS g, l_suppkey * 2 + 1 AS s, l_partkey * 2 AS t FROM lineitem), k AS (SELECT s_suppkey * 2 + 1 AS node FROM supplier WHERE s_acctbal > 0 UNION SELECT p_partkey * 2 FROM part), n AS (SELECT node, CAST(row_number() OVER (ORDER BY node) - 1 AS INT) AS i FROM k) SELECT g, a.i AS s, b.i AS t FROM e JOIN n a ON a.node = e.s JOIN n b ON b.node = e.t",
+    "whole_triangles": "WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), e AS (SELECT DISTINCT a.p AS u, b.p AS v FROM l a JOIN l b ON a.o = b.o AND a.p < b.p), t AS (SELECT x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON y.u = x.v JOIN e z ON z.u = x.u AND z.v = y.v) SELECT node, count(*) AS n FROM (SELECT unnest([a, b, c]) AS node FROM t) GROUP BY 1",
     "demeaned": "WITH l AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) SELECT l_orderkey, l_linenumber, round(q - avg(q) OVER (PARTITION BY l_orderkey), 8) AS q0 FROM l",
     "density_validity": "WITH l AS (SELECT p_brand, p_type, p_size, l_extendedprice AS x FROM lineitem JOIN part ON p_partkey = l_partkey)" + _DENS + ", j AS (SELECT x, CASE WHEN m0.mu IS NOT NULL THEN 0 WHEN m1.mu IS NOT NULL THEN 1 WHEN m2.mu IS NOT NULL THEN 2 ELSE -1 END AS level, coalesce(m0.mu, m1.mu, m2.mu) AS mu, coalesce(m0.sd, m1.sd, m2.sd) AS sd FROM l LEFT JOIN m0 USING (p_brand, p_type, p_size) LEFT JOIN m1 ON m1.p_brand = l.p_brand AND m1.p_type = l.p_type LEFT JOIN m2 ON m2.p_brand = l.p_brand), q AS (SELECT level, exp(-(((x - mu) / sd) ** 2) / 2) AS q FROM j) SELECT level, count(*) AS n, count(*) FILTER (coalesce(q > 0.2, true)) AS n_valid, round(avg(q), 8) AS mean_q FROM q GROUP BY 1",
     "bandwidths": "SELECT event_type, round(0.9 * least(stddev_pop(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34) * pow(count(value), -0.2), 8) AS h FROM events GROUP BY 1",
