@@ -15,7 +15,8 @@ The statistics come from two distributed counting passes. The first counts the v
 delimit beyond doubt and the signs between them, at full weight, and all other texts split at every
 sign, at a small weight. The second counts values and separators of every text as parsed under the
 first model. Both are aggregated per partition before the shuffle, and their size is bounded by the
-square of the number of character classes (below 200), whatever the data.
+square of the number of character classes (below 200), whatever the data: a sign that is no ASCII counts by
+its class, and longer runs of signs between blanks share one kind.
 """
 
 from __future__ import annotations
@@ -157,10 +158,13 @@ def occurrences(text: str, spans: list[tuple[int, int]]) -> dict[str, list[tuple
             k, e = m.span()
             alone = 0 < k and e < len(text) and text[k - 1].isspace() and text[e].isspace()
             if alone and len(set(m[0])) > 1:
-                kinds.setdefault("~" + m[0], []).append((k, e))
+                run = m[0].translate(CLASSES)
+                # runs of more than two signs share one kind, so that the kinds are bounded by the classes
+                kinds.setdefault("~" + run if len(run) == 2 else "~~~", []).append((k, e))
                 continue
             for x in range(k, e):
-                spots = kinds.setdefault("~" + text[x] if alone else text[x], [])
+                own = text[x] if text[x] < "\x80" else text[x].translate(CLASSES)
+                spots = kinds.setdefault("~" + own if alone else own, [])
                 if spots and spots[-1][1] == x:  # a sign repeated: one spot
                     spots[-1] = (spots[-1][0], x + 1)
                 else:
@@ -215,9 +219,9 @@ def cheapest_signs(text: str, model: Model, spans: list[tuple[int, int]], kinds:
         touched = set()
         for k, e in kinds[best]:
             limit[k + 1 : e + 1] = b"\1" * (e - k)
-            touched.update(text[max(0, k - 1) : k] + text[e : e + 1])
+            touched.update((text[max(0, k - 1) : k] + text[e : e + 1]).translate(CLASSES))
         for kind in gains:
-            if touched & set(kind):
+            if kind == "~~~" or touched & set(kind.translate(CLASSES)):
                 gains[kind] = saved(kind)
     return chosen
 
