@@ -82,13 +82,16 @@ def read_vocabulary(spark: SparkSession, path: str, schema: str, required: tuple
     return df
 
 
-def read_numbered_files(spark: SparkSession, path: str, pattern: str, default: bytes | None = None) -> DataFrame:
+def read_numbered_files(spark: SparkSession, path: str, pattern: str, wanted: DataFrame | None = None, default: bytes | None = None) -> DataFrame:
     """``(number, content)``: files by the number in their path; files without number or content are
-    skipped, ``default`` takes the place of missing content if it is given."""
+    skipped. With ``wanted`` (a column ``number``) there is a row for each of its numbers, ``default``
+    taking the place of a missing or empty file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    rows = files.select(F.regexp_extract("path", pattern, 1).alias("n"), F.when(F.length("content") > 0, F.col("content")).alias("content")).where("n <> ''")
+    rows = files.select(F.regexp_extract("path", pattern, 1).alias("n"), "content").where("n <> '' and length(content) > 0")
     rows = rows.select(F.col("n").cast("bigint").alias("number"), "content")
-    return rows.where("content is not null") if default is None else rows.withColumn("content", F.coalesce("content", F.lit(default)))
+    if wanted is None:
+        return rows
+    return wanted.select(F.col("number").cast("bigint").alias("number")).join(rows, "number", "left").select("number", F.coalesce("content", F.lit(default)).alias("content"))
 
 
 def union_of(*tables: DataFrame) -> DataFrame:
