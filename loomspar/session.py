@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL: dict[str, str] = {}  # the folder of a local session, removed at exit
+_CUTS: list[tuple[SparkSession, str]] = []  # tables that cut lineage, removed at exit or by ``drop_cuts``
 atexit.register(lambda: [shutil.rmtree(d, ignore_errors=True) for d in _LOCAL.values()])
 
 
@@ -50,10 +51,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later steps neither repeat its plan
     nor depend on executors that may be lost. The files are parquet, so columns are still pruned."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    _CUTS.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts() -> None:
+    """Delete the tables that cut lineage so far; results that were not read yet need them until then."""
+    while _CUTS:
+        spark, path = _CUTS.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: its folder is removed with it, or stays
+            return
+
+
+atexit.register(drop_cuts)
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers find this package where the driver found it (if the folder exists there)."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
