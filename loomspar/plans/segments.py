@@ -88,7 +88,7 @@ def bandwidths(spark, d):
 
 
 def size_histogram(spark, d):
-    i = table(spark, d, "dataset_items").dropDuplicates(["item_id"])
+    i = table(spark, d, "dataset_items").groupBy("item_id").agg(F.max(F.struct("ingested_at", "n_atoms", "n_residues")).alias("r")).select("r.*")  # as last delivered
     return i.groupBy(F.floor(F.col("n_atoms") / 5).alias("a"), F.floor(F.col("n_residues") / 5).alias("r")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -112,6 +112,6 @@ SQL = {
     "demeaned": "WITH l AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) SELECT l_orderkey, l_linenumber, round(q - avg(q) OVER (PARTITION BY l_orderkey), 8) AS q0 FROM l",
     "density_validity": "WITH l AS (SELECT p_brand, p_type, p_size, l_extendedprice AS x FROM lineitem JOIN part ON p_partkey = l_partkey)" + _DENS + ", j AS (SELECT x, CASE WHEN m0.mu IS NOT NULL THEN 0 WHEN m1.mu IS NOT NULL THEN 1 WHEN m2.mu IS NOT NULL THEN 2 ELSE -1 END AS level, coalesce(m0.mu, m1.mu, m2.mu) AS mu, coalesce(m0.sd, m1.sd, m2.sd) AS sd FROM l LEFT JOIN m0 USING (p_brand, p_type, p_size) LEFT JOIN m1 ON m1.p_brand = l.p_brand AND m1.p_type = l.p_type LEFT JOIN m2 ON m2.p_brand = l.p_brand), q AS (SELECT level, exp(-(((x - mu) / sd) ** 2) / 2) AS q FROM j) SELECT level, count(*) AS n, count(*) FILTER (coalesce(q > 0.2, true)) AS n_valid, round(avg(q), 8) AS mean_q FROM q GROUP BY 1",
     "bandwidths": "SELECT event_type, round(0.9 * least(stddev_pop(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34) * pow(count(value), -0.2), 8) AS h FROM events GROUP BY 1",
-    "size_histogram": "WITH i AS (SELECT item_id, any_value(n_atoms) AS n_atoms, any_value(n_residues) AS n_residues FROM dataset_items GROUP BY 1) SELECT CAST(floor(n_atoms / 5) AS BIGINT) AS a, CAST(floor(n_residues / 5) AS BIGINT) AS r, count(*) AS n FROM i GROUP BY ALL",
-    "conditional_sizes": "WITH i AS (SELECT item_id, any_value(n_atoms) AS n_atoms, any_value(n_residues) AS n_residues FROM dataset_items GROUP BY 1), h AS (SELECT CAST(floor(n_atoms / 5) AS BIGINT) AS a, CAST(floor(n_residues / 5) AS BIGINT) AS r, count(*) AS n FROM i WHERE n_atoms IS NOT NULL AND n_residues IS NOT NULL GROUP BY ALL) SELECT a, r, round(n / sum(n) OVER (PARTITION BY a), 9) AS p FROM h",
+    "size_histogram": "WITH i AS (SELECT m.n_atoms AS n_atoms, m.n_residues AS n_residues FROM (SELECT item_id, max(struct_pack(t := ingested_at, n_atoms, n_residues)) AS m FROM dataset_items GROUP BY 1)) SELECT CAST(floor(n_atoms / 5) AS BIGINT) AS a, CAST(floor(n_residues / 5) AS BIGINT) AS r, count(*) AS n FROM i GROUP BY ALL",
+    "conditional_sizes": "WITH i AS (SELECT m.n_atoms AS n_atoms, m.n_residues AS n_residues FROM (SELECT item_id, max(struct_pack(t := ingested_at, n_atoms, n_residues)) AS m FROM dataset_items GROUP BY 1)), h AS (SELECT CAST(floor(n_atoms / 5) AS BIGINT) AS a, CAST(floor(n_residues / 5) AS BIGINT) AS r, count(*) AS n FROM i WHERE n_atoms IS NOT NULL AND n_residues IS NOT NULL GROUP BY ALL) SELECT a, r, round(n / sum(n) OVER (PARTITION BY a), 9) AS p FROM h",
 }

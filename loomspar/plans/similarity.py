@@ -11,12 +11,12 @@ from loomspar.session import table
 
 
 def _tokens(spark, d, name, key):
-    t = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda x: F.length(x) >= 7))
+    t = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
     return table(spark, d, name).select(F.col(key).alias("id"), t.alias("tokens")).where(F.size("tokens") > 0)
 
 
 def items_near_items(spark, d):
-    """The three most similar other evaluation items of each, by shared long words."""
+    """The three most similar other evaluation items of each, by shared words."""
     t = _tokens(spark, d, "eval_items", "item_id")
     near = ops.nearest_by_tokens(t, t, 4).where("q <> i")
     return ops_rank(near)
@@ -86,7 +86,7 @@ QUERIES = {f.__name__: f for f in (items_near_items, points_within, clash_share,
 _P = "WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
 _D = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)"
 SQL = {
-    "items_near_items": "WITH t AS (SELECT item_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: len(x) >= 7)) AS k FROM eval_items), e AS (SELECT id, len(k) AS n, unnest(k) AS w FROM t), s AS (SELECT a.id AS q, b.id AS i, round(count(*) / (a.n + b.n - count(*)), 8) AS sim FROM e a JOIN e b ON a.w = b.w GROUP BY a.id, b.id, a.n, b.n), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, i) AS r4 FROM s), f AS (SELECT q, i, sim FROM r WHERE r4 <= 4 AND q <> i) SELECT q, i, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, i) AS rank FROM f QUALIFY rank <= 3",
+    "items_near_items": "WITH t AS (SELECT item_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS k FROM eval_items), e AS (SELECT id, len(k) AS n, unnest(k) AS w FROM t), s AS (SELECT a.id AS q, b.id AS i, round(count(*) / (a.n + b.n - count(*)), 8) AS sim FROM e a JOIN e b ON a.w = b.w GROUP BY a.id, b.id, a.n, b.n), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, i) AS r4 FROM s), f AS (SELECT q, i, sim FROM r WHERE r4 <= 4 AND q <> i) SELECT q, i, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, i) AS rank FROM f QUALIFY rank <= 3",
     "points_within": _P + f" SELECT a.vec_id AS l, b.vec_id AS r, round({_D}, 7) AS distance FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE {_D} <= 0.1",
     "clash_share": _P + f" SELECT round(avg(CAST(EXISTS (SELECT 1 FROM p b WHERE b.vec_id <> a.vec_id AND {_D} <= 0.06) AS INT)), 9) AS clash FROM p a",
     "label_centres": "SELECT label, CAST(i AS INT) AS i, round(avg(v), 7) AS mean FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL",
