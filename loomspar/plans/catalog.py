@@ -91,11 +91,21 @@ def generic_branches(spark, d):
     return table(spark, d, "routes").where(F.size(parts) > 0).groupBy(generic.alias("branch")).agg(F.countDistinct("route_id").alias("n_routes"))
 
 
-QUERIES = {f.__name__: f for f in (provider_labels, catalog_merge, catalog_merge_stats, catalog_last_writer, catalog_first_text, rule_merge, rules_not_in_main, rule_arity, catalog_order, generic_branches)}
+def catalog_provider_stats(spark, d):
+    """Of every provider the merged entries, those from several sources, and the keys that another provider offers as well."""
+    b = _blocks(spark, d).where("key is not null")
+    shared = b.groupBy("key").agg(F.count_distinct("prov").alias("k")).where("k > 1").select("key", F.lit(1).alias("shared"))
+    offers = b.select("prov", "key").distinct().join(shared, "key", "left").groupBy(F.col("prov").alias("provider")).agg(F.count(F.lit(1)).alias("n_keys"), F.count("shared").alias("n_collisions"))
+    merged = catalog_merge(spark, d).groupBy("provider").agg(F.count(F.lit(1)).alias("n_merged"), F.count_if(F.col("n_sources") > 1).alias("n_multi"))
+    return offers.join(merged, "provider", "left").na.fill(0)
+
+
+QUERIES = {f.__name__: f for f in (provider_labels, catalog_merge, catalog_merge_stats, catalog_last_writer, catalog_first_text, rule_merge, rules_not_in_main, rule_arity, catalog_order, generic_branches, catalog_provider_stats)}
 SQL = {
     "provider_labels": _BASE + " SELECT prov, CAST(rank AS INT) AS rank, count(*) AS n, count(DISTINCT id) AS n_ids FROM b GROUP BY prov, rank",
     "catalog_merge": _MERGE + " SELECT key, nid AS id, provider, priority, array_to_string(list_transform(srcs, lambda x: CASE WHEN x = concat_ws(':', provider, id) THEN concat_ws(':', provider, nid) ELSE x END), ';') AS sources, CAST(len(srcs) AS INT) AS n_sources FROM r",
     "catalog_merge_stats": _MERGE + " SELECT (SELECT count(*) FROM b) AS n_input, (SELECT count(*) FROM b WHERE key IS NULL) AS n_invalid, count(*) AS n_output, count(*) FILTER (len(srcs) = 1) AS n_single, count(*) FILTER (len(srcs) > 1) AS n_multi FROM r",
+    "catalog_provider_stats": _MERGE + ", c AS (SELECT key, count(DISTINCT prov) AS k FROM b WHERE key IS NOT NULL GROUP BY key), off AS (SELECT prov AS provider, count(*) AS n_keys, count(*) FILTER (k > 1) AS n_collisions FROM (SELECT DISTINCT prov, key FROM b WHERE key IS NOT NULL) JOIN c USING (key) GROUP BY 1), g AS (SELECT provider, count(*) AS n_merged, count(*) FILTER (len(srcs) > 1) AS n_multi FROM r GROUP BY 1) SELECT provider, n_keys, n_collisions, coalesce(n_merged, 0) AS n_merged, coalesce(n_multi, 0) AS n_multi FROM off LEFT JOIN g USING (provider)",
     "catalog_last_writer": "SELECT id, m.name AS name, m.molecularity AS molecularity FROM (SELECT id, arg_max(struct_pack(name, molecularity), struct_pack(loaded_at, s := coalesce(source, ''))) AS m FROM reaction_rules GROUP BY id)",
     "catalog_first_text": "SELECT reaction, arg_min(id, struct_pack(loaded_at, id)) AS id FROM reaction_rules GROUP BY reaction",
     "rule_merge": "WITH f AS (SELECT reaction, arg_min(struct_pack(id, s := coalesce(source, 'none'), m := molecularity, t := loaded_at), struct_pack(loaded_at, id)) AS p FROM reaction_rules GROUP BY reaction) SELECT CASE WHEN row_number() OVER (PARTITION BY p.id ORDER BY p.t, reaction) > 1 THEN p.id || '__' || p.s ELSE p.id END AS id, p.s AS source, p.m AS molecularity FROM f",

@@ -98,7 +98,19 @@ def conditional_sizes(spark, d):
     return h.select("a", "r", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("a")), 9).alias("p"))
 
 
-QUERIES = {f.__name__: f for f in (order_segments, softmax_weights, argmax_rows, tree_totals, tree_paths, whole_components, whole_subgraph, whole_triangles, demeaned, density_validity, bandwidths, size_histogram, conditional_sizes)}
+def smoothed_log_sizes(spark, d):
+    """Logarithm of the share of each residue bin within an atom bin, smoothed by 0.001."""
+    return conditional_sizes(spark, d).select("a", "r", F.round(F.log(F.col("p") + 1e-3), 7).alias("log_p"))
+
+
+def scott_bandwidths(spark, d):
+    """Scott bandwidth per event type, and the smaller of it and Silverman's."""
+    g = table(spark, d, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.stddev_pop("value").alias("s"), (F.percentile("value", 0.75) - F.percentile("value", 0.25)).alias("iqr"))
+    scott, silverman = F.col("s") * F.pow("n", F.lit(-0.2)), 0.9 * F.least("s", F.col("iqr") / 1.34) * F.pow("n", F.lit(-0.2))
+    return g.select("event_type", F.round(scott, 8).alias("scott"), F.round(F.least(scott, silverman), 8).alias("h"))
+
+
+QUERIES = {f.__name__: f for f in (order_segments, softmax_weights, argmax_rows, tree_totals, tree_paths, whole_components, whole_subgraph, whole_triangles, demeaned, density_validity, bandwidths, size_histogram, conditional_sizes, smoothed_log_sizes, scott_bandwidths)}
 _TREE = "WITH RECURSIVE t AS (SELECT event_id AS node, CASE WHEN event_id > 1 THEN event_id // 2 END AS parent, CAST(event_type = 'purchase' AS BIGINT) AS v FROM events), a AS (SELECT node, node AS anc, 0 AS depth FROM t UNION ALL SELECT a.node, t.parent, depth + 1 FROM a JOIN t ON t.node = a.anc WHERE t.parent IS NOT NULL)"
 _DENS = "".join(f", m{i} AS (SELECT {', '.join(lv)}, avg(x) AS mu, stddev_pop(x) AS sd FROM l GROUP BY {', '.join(lv)} HAVING count(x) > 50)" for i, lv in enumerate(LEVELS))
 SQL = {
@@ -114,4 +126,6 @@ SQL = {
     "bandwidths": "SELECT event_type, round(0.9 * least(stddev_pop(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34) * pow(count(value), -0.2), 8) AS h FROM events GROUP BY 1",
     "size_histogram": "WITH i AS (SELECT m.n_atoms AS n_atoms, m.n_residues AS n_residues FROM (SELECT item_id, max(struct_pack(t := ingested_at, n_atoms, n_residues)) AS m FROM dataset_items GROUP BY 1)) SELECT CAST(floor(n_atoms / 5) AS BIGINT) AS a, CAST(floor(n_residues / 5) AS BIGINT) AS r, count(*) AS n FROM i GROUP BY ALL",
     "conditional_sizes": "WITH i AS (SELECT m.n_atoms AS n_atoms, m.n_residues AS n_residues FROM (SELECT item_id, max(struct_pack(t := ingested_at, n_atoms, n_residues)) AS m FROM dataset_items GROUP BY 1)), h AS (SELECT CAST(floor(n_atoms / 5) AS BIGINT) AS a, CAST(floor(n_residues / 5) AS BIGINT) AS r, count(*) AS n FROM i WHERE n_atoms IS NOT NULL AND n_residues IS NOT NULL GROUP BY ALL) SELECT a, r, round(n / sum(n) OVER (PARTITION BY a), 9) AS p FROM h",
+    "smoothed_log_sizes": "WITH i AS (SELECT m.n_atoms AS n_atoms, m.n_residues AS n_residues FROM (SELECT item_id, max(struct_pack(t := ingested_at, n_atoms, n_residues)) AS m FROM dataset_items GROUP BY 1)), h AS (SELECT CAST(floor(n_atoms / 5) AS BIGINT) AS a, CAST(floor(n_residues / 5) AS BIGINT) AS r, count(*) AS n FROM i WHERE n_atoms IS NOT NULL AND n_residues IS NOT NULL GROUP BY ALL) SELECT a, r, round(ln(round(n / sum(n) OVER (PARTITION BY a), 9) + 0.001), 7) AS log_p FROM h",
+    "scott_bandwidths": "SELECT event_type, round(stddev_pop(value) * pow(count(value), -0.2), 8) AS scott, round(least(stddev_pop(value), 0.9 * least(stddev_pop(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34)) * pow(count(value), -0.2), 8) AS h FROM events GROUP BY 1",
 }
