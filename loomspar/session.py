@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL: dict[str, str] = {}  # the folder of a local session, removed at exit
-_CUTS: list[tuple[SparkSession, str]] = []  # tables that cut lineage, removed at exit or by ``drop_cuts``
+_CUTS: list[tuple[SparkSession, str]] = []  # tables that cut lineage, removed by ``drop_cuts`` (at exit, if the session still lives)
 atexit.register(lambda: [shutil.rmtree(d, ignore_errors=True) for d in _LOCAL.values()])
 
 
