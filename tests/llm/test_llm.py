@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 
 import numpy as np
 import pytest
@@ -298,3 +299,33 @@ def test_leaks_with_a_huge_vocabulary_and_repeats_without_end():
     some = [" ".join(names[k : k + 12]) for k in range(2_100_000, 2_101_000, 10)]
     assert index.matches(some, codes, places) == {(k, 1) for k in range(100)}
     assert (places > 2_200_000).sum() < 100 and index.matches(["so " * 20_000, "so " * 11], codes, places) == {(0, 2)}
+
+
+def test_shuffle_files_go_when_lineage_is_cut(spark):
+    from loomspar.session import cut_lineage
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = disk.getAllBlocks().size()
+    cut = cut_lineage(spark.range(20000).groupBy((F.col("id") % 7000).alias("k")).count())
+    for _ in range(50):  # the files are removed in the background
+        if disk.getAllBlocks().size() <= before:
+            break
+        time.sleep(0.1)
+    assert disk.getAllBlocks().size() <= before and cut.count() == 7000
+
+
+def test_overlap_makes_chunks_of_ligands_around_popular_pockets_only(spark, monkeypatch):
+    rng = random.Random(6)
+    pockets, ligands = (["".join(rng.choice("ABCDE") for _ in range(n)) for _ in range(6)] for n in (40, 60))
+    rows = [(n, "train" if n % 3 else "val", "d", change(rng, rng.choice(ligands), rng.randrange(7)), pockets[min(5, n % 20)]) for n in range(600)]
+    df = spark.createDataFrame(rows, "item_id bigint, split string, datadir string, ligand_smiles string, pocket_seq string")
+    chunked = []
+    monkeypatch.setattr(overlap, "with_chunks", lambda df, text, *a, make=overlap.with_chunks: chunked.append(df.count() if text == "ligand" else 0) or make(df, text, *a))
+    found = lambda **few: sorted((r.eval_id, r.train_id) for r in overlap.cross_split_pairs(df, **few).collect())
+    every, n_every = found(few=0), sum(chunked)
+    chunked.clear()
+    some, n_some = found(few=30), sum(chunked)
+    assert some == every and len(every) > 500
+    assert 0 < n_some < n_every
+    chunked.clear()
+    assert found(few=600) == every and sum(chunked) == 0
