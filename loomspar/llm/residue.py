@@ -23,7 +23,9 @@ draft may have the gap filled.
 The width of a part follows the number of documents (16 bits up to 65,536 of them, one more for each
 doubling), so that random meetings stay in proportion to the documents, and the number of tables is
 the one at which, by the binomial law of sign agreements, a pair of similarity 0.8 meets in some table
-with probability 0.9 (one of 0.9 with 0.997); equal cores always meet.
+with probability 0.9 (one of 0.9 with 0.997); equal cores always meet. The tables are joined a few at
+a time, so that only these lie in shuffle files at once; and shingles, many times the size of the
+texts, are made again for just those classes that meet one which has the label already.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ import hashlib
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,7 @@ from loomspar.session import cut_lineage
 SHINGLE, LEAST = 5, 0.8
 MEETS = 0.9  # probability that a pair of the least similarity meets in some table
 NEAR64 = 20  # of the first 64 bits
+AT_ONCE = 8  # tables that are joined at once
 LEAST_DOCS, COMPANY, COVER = 3, 0.5, 0.15  # documents of a passage that joins the residue, the share of them that speak for it, and how much of such a document is residue
 LEAST_WORDS = 3  # of a document that is residue as a whole
 
@@ -101,15 +105,15 @@ def table_plan(n: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - MEETS) / math.log(1 - agree**bits))
 
 
-_MARKED = "doc bigint, label string, cls bigint, words int, passages array<struct<cls:bigint,seed:string,words:int>>, sig bigint, parts array<bigint>, shingles array<bigint>"
+_MARKED = "doc bigint, label string, cls bigint, words int, passages array<struct<cls:bigint,seed:string,words:int>>, sig bigint, bits binary, shingles array<bigint>"
 
 
 def mark_documents(docs: DataFrame, key: str, text: str, plan: tuple[int, int]) -> DataFrame:
     """One row per document: its trusted label, if it holds residue; its class; its passages; and the
-    class's SimHash parts and shingles."""
+    class's SimHash (after three bytes that tell the plan) and shingles."""
     bits, tables = plan
     words64 = -(-bits * tables // 64)
-    weights = (np.int64(1) << np.arange(bits, dtype=np.int64))[None, :]
+    head = bytes((bits, tables & 255, tables >> 8))
 
     def one(t: str) -> tuple:
         plain = rules.without_code(t)
@@ -136,18 +140,18 @@ def mark_documents(docs: DataFrame, key: str, text: str, plan: tuple[int, int])
         codes = np.array(every, np.uint64)
         hashes = shingle_hashes(codes)
         h = simhash(hashes, words64)
-        parts = h[: bits * tables].reshape(tables, bits) @ weights[0]
-        return own, int.from_bytes(digest(codes.tobytes()), "little", signed=True), len(every), list(seen.items()), int(np.packbits(h[:64]).view(np.int64)[0]), parts, hashes.view(np.int64)
+        packed = head + np.packbits(h[: bits * tables]).tobytes()
+        return own, int.from_bytes(digest(codes.tobytes()), "little", signed=True), len(every), list(seen.items()), int(np.packbits(h[:64]).view(np.int64)[0]), packed, hashes.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("cls", pa.int64()), ("seed", pa.string()), ("words", pa.int32())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 piece = batch.slice(at, 1000)
-                label, cls, words, passages, sig, parts, shingles = zip(*map(one, piece.column(1).to_pylist()))
+                label, cls, words, passages, sig, packed, shingles = zip(*map(one, piece.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(label, pa.string()), pa.array(cls, pa.int64()), pa.array(words, pa.int32()), pa.array([p and [{"cls": c, "seed": s, "words": n} for c, (s, n) in p] for p in passages], kind), pa.array(sig, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(shingles, pa.list_(pa.int64()))],
-                    names=["doc", "label", "cls", "words", "passages", "sig", "parts", "shingles"],
+                    [piece.column(0), pa.array(label, pa.string()), pa.array(cls, pa.int64()), pa.array(words, pa.int32()), pa.array([p and [{"cls": c, "seed": s, "words": n} for c, (s, n) in p] for p in passages], kind), pa.array(sig, pa.int64()), pa.array(packed, pa.binary()), pa.array(shingles, pa.list_(pa.int64()))],
+                    names=["doc", "label", "cls", "words", "passages", "sig", "bits", "shingles"],
                 )
 
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).where("k is not null and t is not null")
@@ -158,31 +162,86 @@ def one_per_class(marked: DataFrame, *columns: str) -> DataFrame:
     return marked.where(F.col("cls").isNotNull()).select("cls", *columns).dropDuplicates(["cls"])
 
 
-def near_classes(marked: DataFrame) -> DataFrame:
-    """Links ``(a, b)``, a < b, between classes that are near-duplicates. Shingle sets are compared where
-    they lie, by 64-bit hashes."""
-    rows = one_per_class(marked, "sig", "parts").select("cls", "sig", F.posexplode("parts").alias("table", "part"))
-    left, right = rows.withColumnsRenamed({"cls": "a", "sig": "sig_a"}), rows.withColumnsRenamed({"cls": "b", "sig": "sig_b"})
-    met = left.join(right, ["table", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= NEAR64)).select("a", "b").distinct()
-    sets = one_per_class(marked, "shingles")
+def plan_of(packed: bytes) -> tuple[int, int]:
+    return packed[0], packed[1] | packed[2] << 8
+
+
+def part_rows(marked: DataFrame, tables: range) -> DataFrame:
+    """``(code, cls, sig)``: of each class its parts of these tables, ``code`` for table and part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            raw = batch.column(2).to_pylist()
+            bits, every = plan_of(raw[0])
+            flat = np.unpackbits(np.frombuffer(b"".join(x[3:] for x in raw), np.uint8).reshape(len(raw), -1), axis=1)
+            some = flat[:, tables.start * bits : tables.stop * bits].reshape(len(raw), len(tables), bits)
+            codes = some @ (np.int64(1) << np.arange(bits, dtype=np.int64)) | np.array(tables, np.int64) << np.int64(40)
+            of = pa.array(np.repeat(np.arange(len(raw)), len(tables)))
+            yield pa.RecordBatch.from_arrays([pa.array(codes.reshape(-1)), batch.column(0).take(of), batch.column(1).take(of)], names=["code", "cls", "sig"])
+
+    return marked.where("cls is not null").select("cls", "sig", "bits").mapInArrow(run, "code bigint, cls bigint, sig bigint")
+
+
+def meeting_classes(marked: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of classes that meet in some table and differ in few of the first 64 bits.
+
+    ``AT_ONCE`` tables are joined at once. Pairs that meet in a table within the first 64 bits are
+    found with the first ones and are not written again with later ones."""
+    first = marked.where("cls is not null").select("bits").first()
+    if first is None:
+        return marked.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+    bits, tables = plan_of(first["bits"])
+    differ = F.col("sig_a").bitwiseXOR(F.col("sig_b"))
+    early = [int(np.packbits((np.arange(64) // bits == t).astype(np.uint8)).view(np.int64)[0]) for t in range(min(64 // bits, AT_ONCE, tables))]
+    found = []
+    for at in range(0, tables, AT_ONCE):
+        rows = part_rows(marked, range(at, min(at + AT_ONCE, tables))).repartition("code").dropDuplicates(["code", "cls"])
+        left, right = rows.withColumnsRenamed({"cls": "a", "sig": "sig_a"}), rows.withColumnsRenamed({"cls": "b", "sig": "sig_b"})
+        met = left.join(right, "code").where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= NEAR64))
+        for mask in early if at else ():
+            met = met.where(differ.bitwiseAND(F.lit(mask)) != 0)
+        found.append(cut_lineage(met.select("a", "b").distinct()))
+    return cut_lineage(reduce(DataFrame.union, found).distinct())
+
+
+def similar_pairs(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of which the shingle sets, compared by 64-bit hashes, are similar enough."""
     both = met.join(sets.withColumnsRenamed({"cls": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"cls": "b", "shingles": "y"}), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= LEAST * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def spread_labels(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Classes of all components that hold a seed: ``(cls)``. Each round takes one step along the links;
-    rounds end when no class is new."""
-    both = cut_lineage(links.union(links.select("b", "a")).toDF("a", "b"))
+def near_classes(marked: DataFrame) -> DataFrame:
+    """All links ``(a, b)``, a < b, between classes that are near-duplicates."""
+    return similar_pairs(meeting_classes(marked), one_per_class(marked, "shingles"))
+
+
+def spread_labels(met: DataFrame, seeds: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Classes of all components of near-duplicates that hold a seed: ``(cls)``. Each round takes one step
+    along the pairs that met and are similar, with the shingle sets that ``sets_of`` gives for the classes
+    at their ends only; rounds end when no class is new."""
+    both = cut_lineage(met.union(met.select("b", "a")).toDF("a", "b"))
     reached = cut_lineage(seeds.select("cls").distinct())
     front = reached
     while True:
-        front = cut_lineage(both.join(front, both["a"] == front["cls"], "left_semi").select(F.col("b").alias("cls")).distinct().join(reached, "cls", "left_anti"))
+        pairs = cut_lineage(both.join(front.withColumnRenamed("cls", "a"), "a", "left_semi").join(reached.withColumnRenamed("cls", "b"), "b", "left_anti").select("a", "b"))
+        if pairs.isEmpty():
+            return reached
+        sets = sets_of(cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()))
+        front = cut_lineage(similar_pairs(pairs, sets).select(F.col("b").alias("cls")).distinct())
         if front.isEmpty():
             return reached
         reached = cut_lineage(reached.union(front))
 
 
+def shingle_sets(docs: DataFrame, marked: DataFrame, classes: DataFrame, plan: tuple[int, int]) -> DataFrame:
+    """``(cls, shingles)`` of these classes, from the text ``t`` of one document ``k`` of each."""
+    one = cut_lineage(marked.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc").alias("k")).select("k").distinct())
+    return cut_lineage(one_per_class(mark_documents(docs.join(one, "k", "left_semi"), "k", "t", plan).join(classes, "cls", "left_semi"), "shingles"))
+
+
 def whole_residue(marked: DataFrame, least_docs: int = LEAST_DOCS, company: float = COMPANY, cover: float = COVER) -> DataFrame:
     """Classes of documents of which every passage is residue: ``(cls, label, via)``.
 
@@ -220,9 +279,11 @@ def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     residue. A repeated key is marked if any of its texts is. Texts are read whole. An empty table
     gives an empty result; further columns do not matter.
     """
-    marked = cut_lineage(mark_documents(docs, key, text, table_plan(docs.count())))
+    plan = table_plan(docs.count())
+    marked = cut_lineage(mark_documents(docs, key, text, plan).drop("shingles"))
     whole = cut_lineage(whole_residue(marked))
-    reached = spread_labels(near_classes(marked), whole)
+    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
+    reached = spread_labels(meeting_classes(marked), whole, lambda classes: shingle_sets(texts, marked, classes, plan))
     own = marked.where(F.col("label").isNotNull()).select("doc", "label", F.lit("own").alias("via"))
     rest = marked.where(F.col("label").isNull())
     page = rest.join(whole.select("cls", F.col("label").alias("l"), "via"), "cls").select("doc", F.col("l").alias("label"), "via")

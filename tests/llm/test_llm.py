@@ -329,3 +329,20 @@ def test_overlap_makes_chunks_of_ligands_around_popular_pockets_only(spark, monk
     assert 0 < n_some < n_every
     chunked.clear()
     assert found(few=600) == every and sum(chunked) == 0
+
+
+def test_shingles_are_kept_only_where_a_label_may_reach(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("klmnopqrst") for _ in range(4)) for _ in range(90)]
+    body = "404 Not Found. The requested URL was not found. Please try again later or contact the administrator if this keeps happening on a different day. Check the address and reload."
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(100)]
+    texts += [f"{t} {rng.choice(words)}" for t in texts] + [body, body + " Zuletzt am Montag.", body + " Zuletzt am Montag geprüft."]  # the last is near to the one before, hardly to the first
+    kept = []
+    monkeypatch.setattr(residue, "cut_lineage", lambda df, cut=residue.cut_lineage: (out := cut(df), "shingles" in df.columns and kept.append(out.count()))[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc bigint, text string")
+    got = {r.doc: r.via for r in residue.residue_documents(docs, "doc").collect()}
+    assert got == {200: "own", 201: "near", 202: "near"} and 0 < sum(kept) < 20
+    marked = residue.mark_documents(docs, "doc", "text", residue.table_plan(203)).cache()
+    few = {tuple(r) for r in residue.meeting_classes(marked).collect()}
+    monkeypatch.setattr(residue, "AT_ONCE", 10**6)
+    assert few == {tuple(r) for r in residue.meeting_classes(marked).collect()} and len(few) >= 90
