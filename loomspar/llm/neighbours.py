@@ -13,7 +13,12 @@ leaves of highest priority are opened. As priorities only fall along a path, and
 keeps its node's negative priority, keeping the best ``probes`` nodes of all trees at every level
 opens the same leaves as the queue would; that form runs on whole batches. Classes and the queries
 that opened a leaf meet in one group per leaf, where similarities are computed exactly and the best
-are kept; the best over all leaves are the result.
+are kept.
+
+The more leaves a catalog has, the fewer of them a search opens, and the more neighbours it misses. So
+the best over all leaves are only a first graph: classes that share a neighbour in it are compared
+exactly as well, round by round, until a round changes few entries. A missed neighbour is nearly always
+a neighbour of one that was found.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ PROBES = 24  # leaves that a search opens, over all trees
 LEAF = 256  # aimed-at classes of a leaf
 SAMPLE = 16_384  # classes that the fitted levels are fitted on, at most
 FITTED = 10  # fitted levels, at most
+STILL = 0.002  # share of new entries of the lists at which the rounds end
+HUB = 64  # neighbours of one class that are compared with each other at once
 
 
 def set_classes(df: DataFrame, key: str, bits: str, dims: int = DIMS) -> DataFrame:
@@ -179,6 +186,53 @@ def rank_leaf(table: pa.Table, dims: int, k: int, least: float) -> pa.Table:
     return pa.table({"c": flat(out_q, pa.int64()), "other": flat(out_c, pa.int64()), "sim": flat(out_s, pa.float64())})
 
 
+def rank_around(table: pa.Table, dims: int, least: float) -> pa.Table:
+    """Exact similarities of the members ``c`` around each ``m`` with each other; around a class with more
+    than ``HUB`` members those of successive numbers are compared."""
+    table = table.sort_by([("m", "ascending"), ("c", "ascending")])
+    m, c = table.column("m").to_numpy(), table.column("c").to_numpy()
+    bits, sizes = padded(table.column("bits").to_pylist(), dims)
+    flat = np.zeros((len(c), -(-dims // 64) * 64 + 64), bool)
+    flat[np.arange(len(c))[:, None], bits] = True
+    flat[:, dims:] = False
+    packed = np.packbits(flat, axis=1).view(np.uint64)
+    starts = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+    degrees = np.diff(np.append(starts, len(m)))
+    cuts = np.concatenate([np.arange(0, d, HUB) + at for at, d in zip(starts, degrees)])
+    many = np.diff(np.append(cuts, len(m)))
+    pairs = []
+    for d in np.unique(many):
+        i, j = np.triu_indices(d, 1)
+        at = cuts[many == d][:, None]
+        pairs.append(np.stack([(at + i).reshape(-1), (at + j).reshape(-1)]))
+    i, j = np.concatenate(pairs, 1)
+    _, some = np.unique(np.stack([c[i], c[j]]), axis=1, return_index=True)
+    i, j = i[some], j[some]
+    both = np.concatenate([np.bitwise_count(packed[i[k : k + 50_000]] & packed[j[k : k + 50_000]]).sum(1, dtype=np.int64) for k in range(0, max(1, len(i)), 50_000)])
+    sim = both / (sizes[i] + sizes[j] - both).astype(np.float64)
+    near = sim >= least
+    a, b, sim = c[i][near], c[j][near], sim[near]
+    return pa.table({"c": pa.array(np.concatenate([a, b]), pa.int64()), "other": pa.array(np.concatenate([b, a]), pa.int64()), "sim": pa.array(np.concatenate([sim, sim]), pa.float64())})
+
+
+def best_of(rows: DataFrame, k: int) -> DataFrame:
+    return rows.groupBy("c").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("away"), "other"))), 1, k).alias("best"))
+
+
+def refined(near: DataFrame, classes: DataFrame, n: int, k: int, least: float, dims: int) -> DataFrame:
+    """``near`` after rounds in which classes that share a neighbour are compared."""
+    entries = lambda lists: lists.select("c", F.explode("best").alias("b")).select("c", F.col("b.other").alias("other"), (-F.col("b.away")).alias("sim"))
+    while True:
+        known = entries(near)
+        edges = known.select(F.col("c").alias("m"), F.col("other").alias("c")).union(known.select(F.col("other").alias("m"), "c")).distinct()
+        around = edges.join(classes.select("c", "bits"), "c").groupBy(F.pmod(F.xxhash64("m"), F.lit(max(1, n // 1000))).alias("part"))
+        met = around.applyInArrow(lambda t: rank_around(t, dims, least), "c bigint, other bigint, sim double")
+        near = cut_lineage(best_of(known.union(met), k))
+        new, every = entries(near).join(known, ["c", "other"], "left_anti").count(), known.count()
+        if new <= STILL * every:
+            return near
+
+
 def similar_classes(classes: DataFrame, n: int, k: int, least: float, dims: int = DIMS, trees: int = TREES, probes: int = PROBES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """``(c, best)``: for each class the ``k`` most similar other classes, ``best`` an array of
     ``(away, other)`` with ``away = -similarity``; equal ones by smaller class number."""
@@ -200,7 +254,7 @@ def similar_classes(classes: DataFrame, n: int, k: int, least: float, dims: int
 
     routed = classes.select("c", "bits").mapInArrow(route, "leaf bigint, c bigint, own boolean, bits binary")
     near = routed.groupBy("leaf").applyInArrow(lambda t: rank_leaf(t, dims, k, least), "c bigint, other bigint, sim double")
-    return near.groupBy("c").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("away"), "other"))), 1, k).alias("best"))
+    return refined(cut_lineage(best_of(near, k)), classes, n, k, least, dims)
 
 
 def nearest_pairs(df: DataFrame, key: str, bits: str, k: int = 5, least: float = 0.5, dims: int = DIMS, **forest: int) -> DataFrame:

@@ -346,3 +346,35 @@ def test_shingles_are_kept_only_where_a_label_may_reach(spark, monkeypatch):
     few = {tuple(r) for r in residue.meeting_classes(marked).collect()}
     monkeypatch.setattr(residue, "AT_ONCE", 10**6)
     assert few == {tuple(r) for r in residue.meeting_classes(marked).collect()} and len(few) >= 90
+
+
+def test_neighbours_missed_by_few_leaves_are_found_around_others(spark):
+    rng = random.Random(12)
+    sets = {}
+    for f in range(250):
+        core = rng.sample(range(2048), 40)
+        for n in range(12):
+            sets[f"f{f:03d}-{n:02d}"] = sorted({*rng.sample(core, 40 - rng.randrange(2, 9)), *rng.sample(range(2048), rng.randrange(1, 5))})
+    want = set()
+    as_set = {k: set(v) for k, v in sets.items()}
+    for a in sets:
+        sims = sorted((-len(as_set[a] & as_set[b]) / len(as_set[a] | as_set[b]), b) for b in sets if b[:4] == a[:4] and b != a)[:5]
+        want |= {(min(a, b), max(a, b)) for s, b in sims if -s >= 0.5}
+    df = spark.createDataFrame(list(sets.items()), "id string, fp array<int>")
+    got = {(r.id_a, r.id_b) for r in neighbours.nearest_pairs(df, "id", "fp", trees=4, probes=8, leaf=40).collect()}
+    assert len(got & want) >= 0.99 * len(want) and len(got & want) >= 0.99 * len(got)
+
+
+def test_members_around_a_class_are_compared_exactly():
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    core = rng.sample(range(2048), 40)
+    sets = [sorted({*rng.sample(core, 30), *rng.sample(range(2048), 6), 2047 * (n % 2)}) for n in range(150)]
+    rows = [(m, c) for m, some in ((1, range(150)), (2, range(5)), (3, range(3, 40)), (4, [7])) for c in some]
+    table = pa.table({"m": [m for m, _ in rows], "c": [c for _, c in rows], "bits": [sets[c] for _, c in rows]})
+    got = list(zip(*neighbours.rank_around(table, 2048, 0.5).to_pydict().values()))
+    alike = lambda a, b: len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})
+    assert len(got) == len(set(got)) and all(abs(alike(a, b) - s) < 1e-12 for a, b, s in got)
+    want = {(a, b) for a in range(40) for b in range(40) if a != b and alike(a, b) >= 0.5}
+    assert {(a, b) for a, b, _ in got if a < 40 and b < 40} == want
