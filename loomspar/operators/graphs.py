@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspar.session import cut_lineage
+from loomspar.session import cut_lineage, drop_cut
 
 
 def segment_stats(df: DataFrame, segments: DataFrame, by: str, value: str) -> DataFrame:
@@ -43,9 +43,43 @@ def ancestors(tree: DataFrame, node: str, parent: str) -> DataFrame:
         reach = reach.unionByName(more)
 
 
+FEW = 10_000  # rows of a table that is broadcast
+
+
+def _sized(cut: DataFrame) -> DataFrame:
+    """A table that cut lineage, broadcast or not by its rows: many sequential keys make a small file and a large broadcast."""
+    return cut.hint("broadcast" if cut.count() <= FEW else "merge")
+
+
+def _met(state: DataFrame) -> DataFrame:
+    """``(p, ...)``: the rows of ``state`` whose node ``n`` another row points to by its ``p``."""
+    wanted = cut_lineage(state.where("p is not null").select("p").distinct())
+    met = cut_lineage(state.withColumnRenamed("p", "q").withColumnRenamed("n", "p").join(_sized(wanted), "p", "left_semi"))
+    drop_cut(wanted)
+    return met
+
+
 def roll_up_tree(tree: DataFrame, node: str, parent: str, value: str) -> DataFrame:
-    """Every node's own value plus those of its whole subtree."""
-    return ancestors(tree, node, parent).join(tree.select(node, value), node).groupBy(F.col("anc").alias(node)).agg(F.sum(value).alias("total"), F.max("depth").alias("height"))
+    """Every node's own value plus those of its whole subtree (``total``), and how deep that is (``height``).
+
+    By doubling: a node's row holds the sum over its subtree to a depth below ``reach`` and points ``p`` to
+    the ancestor ``reach`` steps up, which takes the sum over. So a round has one row per node, and the
+    rounds grow with the logarithm of the depth. Parents without a row of their own count as nodes."""
+    state = tree.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("n")).agg(F.max(parent).alias("p"), F.sum(value).alias("s"), F.lit(0).alias("h"))
+    state, reach = cut_lineage(state), 1
+    kind = dict(state.dtypes)
+    while True:
+        live, none = state.where("p is not null"), F.lit(None).cast(kind["p"]).alias("p")
+        ups = _met(state.select("n", "p").where("p is not null"))
+        given = state.where("p is null").union(live.select(F.col("p").cast(kind["n"]).alias("n"), none, "s", (F.col("h") + reach).alias("h")))
+        last = ups.isEmpty()
+        lifted = live.select("n", none, "s", "h") if last else live.join(_sized(ups), "p", "left").select("n", F.col("q").alias("p"), "s", "h")
+        new = given.union(lifted).groupBy("n").agg(F.max("p").alias("p"), F.sum("s").cast(kind["s"]).alias("s"), F.max("h").alias("h"))
+        if last:
+            return new.select(F.col("n").alias(node), F.col("s").alias("total"), F.col("h").alias("height"))
+        before, state, reach = state, cut_lineage(new), 2 * reach
+        drop_cut(before)
+        drop_cut(ups)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

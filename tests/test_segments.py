@@ -37,3 +37,31 @@ def test_graph_queries_take_all_rows_and_real_keys(spark, tmp_path):
             for x in t:
                 count[x] = count.get(x, 0) + 1
     assert dict(run("whole_triangles")) == count and len(count) > 50 and max(count) > 120
+
+
+def _tree_tables(spark, tmp_path, monkeypatch, name):
+    """The query over 400 events, some without their parent's row, and the most rows of a table that cut lineage."""
+    ids = [i for i in range(400) if i not in (3, 10, 25)]
+    spark.createDataFrame([(i, [None, "purchase", "view"][i % 3]) for i in ids], "event_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    rows = []
+
+    def cut(df, real=segments.ops.cut_lineage):
+        rows.append((table := real(df)).count())
+        return table
+
+    monkeypatch.setattr(segments.ops, "cut_lineage", cut)
+    got = [tuple(r) for r in segments.QUERIES[name](spark, str(tmp_path)).collect()]
+    up = lambda i: [i, *(up(i // 2) if i > 1 and i in ids else [])]
+    return ids, up, got, max(rows)
+
+
+def test_tree_totals_have_one_row_per_node_in_every_round(spark, tmp_path, monkeypatch):
+    ids, up, got, most = _tree_tables(spark, tmp_path, monkeypatch, "tree_totals")
+    below = {}
+    for i in ids:
+        for depth, x in enumerate(up(i)):
+            below.setdefault(x, []).append((i, depth))
+    value = {i: [None, 1, 0][i % 3] for i in ids}
+    total = lambda b: sum(v) if (v := [value[i] for i, _ in b if value[i] is not None]) else None
+    assert sorted(got) == [(x, total(b), max(k for _, k in b)) for x, b in sorted(below.items())]
+    assert most <= 400
