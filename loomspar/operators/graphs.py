@@ -82,6 +82,23 @@ def roll_up_tree(tree: DataFrame, node: str, parent: str, value: str) -> DataFra
         drop_cut(ups)
 
 
+def root_paths(tree: DataFrame, node: str, parent: str, between: str = "-") -> DataFrame:
+    """``(node, path)``: every node's ancestors from the root down to itself, as a text. Each node has one row.
+
+    By doubling: a row holds the stretch of path below its ``p``, which a round puts the stretch of ``p``
+    before. Only stretches that another row points to are joined: towards the root these are ever fewer."""
+    state = cut_lineage(tree.select(F.col(node).alias("n"), F.col(parent).alias("p"), F.col(node).cast("string").alias("path")))
+    while True:
+        ups = _met(state)
+        longer = F.concat(F.coalesce("up", F.col("p").cast("string")), F.lit(between), "path").alias("path")
+        new = state.where("p is null").union(state.where("p is not null").join(_sized(ups).withColumnRenamed("path", "up"), "p", "left").select("n", "q", longer))
+        if ups.where("q is not null").isEmpty():
+            return new.select(F.col("n").alias(node), "path")
+        before, state = state, cut_lineage(new)
+        drop_cut(before)
+        drop_cut(ups)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, comp)``: the least node of each connected component. Each round every node takes the
     least label among its neighbours' and its label's own label (shortcut); rounds end when nothing changes."""

@@ -35,8 +35,7 @@ def tree_totals(spark, d):
 
 
 def tree_paths(spark, d):
-    a = ops.ancestors(_tree(spark, d), "node", "parent")
-    return a.groupBy("node").agg(F.array_join(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("depth", "anc"))), lambda x: x["anc"].cast("string"))), "-").alias("path"))
+    return ops.root_paths(_tree(spark, d), "node", "parent")
 
 
 def _part_links(spark, d):

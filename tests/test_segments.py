@@ -55,6 +55,12 @@ def _tree_tables(spark, tmp_path, monkeypatch, name):
     return ids, up, got, max(rows)
 
 
+def test_tree_paths_have_one_row_per_node_in_every_round(spark, tmp_path, monkeypatch):
+    ids, up, got, most = _tree_tables(spark, tmp_path, monkeypatch, "tree_paths")
+    assert sorted(got) == [(i, "-".join(map(str, reversed(up(i))))) for i in ids]
+    assert most <= 400
+
+
 def test_tree_totals_have_one_row_per_node_in_every_round(spark, tmp_path, monkeypatch):
     ids, up, got, most = _tree_tables(spark, tmp_path, monkeypatch, "tree_totals")
     below = {}
