@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspar import session
 from loomspar.llm import leaks, mixing, neighbours, overlap, residue, tokens
 from loomspar.llm.items import path_key, split_name
 
@@ -378,3 +379,27 @@ def test_members_around_a_class_are_compared_exactly():
     assert len(got) == len(set(got)) and all(abs(alike(a, b) - s) < 1e-12 for a, b, s in got)
     want = {(a, b) for a in range(40) for b in range(40) if a != b and alike(a, b) >= 0.5}
     assert {(a, b) for a, b, _ in got if a < 40 and b < 40} == want
+
+
+def test_chunk_joins_in_passes_find_the_same_and_leave_no_chunks(spark, monkeypatch):
+    rng = random.Random(8)
+    pockets, ligands = (["".join(rng.choice("ABCDE") for _ in range(n)) for _ in range(4)] for n in (40, 60))
+    rows = [(n, "train" if n % 3 else "val", "d", change(rng, rng.choice(ligands), rng.randrange(7)), change(rng, rng.choice(pockets), rng.randrange(3))) for n in range(200)]
+    df = spark.createDataFrame(rows, "item_id bigint, split string, datadir string, ligand_smiles string, pocket_seq string")
+    made = []
+    monkeypatch.setattr(overlap, "near_by_chunks", lambda *a, meet=overlap.near_by_chunks: made.append(1) or meet(*a))
+    found = lambda: sorted((r.eval_id, r.train_id, r.overlap, r.by_chunks) for r in overlap.cross_split_pairs(df, few=5).collect())
+    before = len(session._CUTS)
+    one, n_one = found(), len(made)
+    assert not [t for _, _, t in session._CUTS[before:] if "chunk" in t.columns]
+    monkeypatch.setattr(overlap, "MEETINGS", overlap.MEETINGS / 4)
+    assert found() == one and len(one) > 200 and len(made) - n_one > n_one
+
+
+def test_content_defined_chunks_do_not_depend_on_other_texts():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ABCDE") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    digests, sizes, begins = overlap.content_chunks(texts)
+    for t, i, j in zip(texts, begins[:-1], begins[1:]):
+        alone = overlap.content_chunks([t])
+        assert digests[i:j].tolist() == alone[0].tolist() and sizes[i:j].tolist() == alone[1].tolist()
