@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,16 +124,37 @@ def induced_subgraph(edges: DataFrame, nodes: DataFrame, graph: str, node: str,
     return left.join(n.withColumnsRenamed({node: dst, "i": "t"}), [graph, dst]).select(graph, "s", "t")
 
 
+WEDGES = 3  # per edge, that one pass over a graph's wedges ships at most: this bounds its shuffle files
+
+
 def triangles(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """``(node, n)``: triangles at each node; edges point from the node of lower degree, which bounds the wedges of hubs."""
-    e = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).where("u <> v").distinct()
-    deg = e.select("u").union(e.select("v")).toDF("x").groupBy("x").agg(F.count(F.lit(1)).alias("deg"))
-    d = e.join(deg.toDF("u", "du"), "u").join(deg.toDF("v", "dv"), "v")
+    """``(node, n)``: triangles at each node; edges point from the node of lower degree, which bounds the wedges of hubs.
+
+    A node's out-neighbours stand in one list in order of degree. Each of them, ``b``, is sent the neighbours
+    after it, and those that are in ``b``'s own list close a triangle: no wedge is a row of its own. This
+    is done in as many passes over parts of ``b`` as keep each to ``WEDGES`` per edge."""
+    e = cut_lineage(edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).where("u <> v").distinct())
+    deg = cut_lineage(e.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("deg")))
+    half = cut_lineage(e.join(deg.toDF("u", "du"), "u"))
+    d = half.join(deg.toDF("v", "dv"), "v")
     flip = (F.col("du") > F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") > F.col("v")))
-    o = d.select(F.when(flip, F.col("v")).otherwise(F.col("u")).alias("a"), F.when(flip, F.col("u")).otherwise(F.col("v")).alias("b"))
-    wedge = o.toDF("a", "b").join(o.toDF("a", "c"), "a").where("b < c")
-    closed = wedge.join(e, (F.col("b") == F.col("u")) & (F.col("c") == F.col("v")))
-    return closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    o = d.select(F.when(flip, F.col("v")).otherwise(F.col("u")).alias("a"), F.struct(F.when(flip, F.col("du")).otherwise(F.col("dv")).alias("deg"), F.when(flip, F.col("u")).otherwise(F.col("v")).alias("x")).alias("b"))
+    drop_cut(e)
+    lists = cut_lineage(o.groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("b")).select("a", F.col("b.x").alias("out")))
+    drop_cut(half)
+    drop_cut(deg)
+    n = F.size("out").cast("bigint")
+    wedges, size = lists.agg(F.sum(n * (n - 1) / 2), F.sum(n)).first()
+    passes = max(1, math.ceil((wedges or 0) / (WEDGES * (size or 1))))
+    total = None
+    for i in range(passes):
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(passes)) == i  # noqa: E731, B023
+        sent = lists.select("a", "out", F.posexplode("out").alias("k", "b")).where((F.col("k") + 1 < F.size("out")) & mine("b"))
+        met = sent.select("a", "b", F.expr("slice(out, k + 2, size(out))").alias("rest")).join(lists.where(mine("a")).toDF("b", "out"), "b")
+        closed = met.select("a", "b", F.explode(F.array_intersect("rest", "out")).alias("c"))
+        part = cut_lineage(closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+        total = part if total is None else total.union(part)
+    return total.groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def level_densities(values: DataFrame, levels: list[list[str]], value: str, at_least: int) -> DataFrame:

@@ -71,3 +71,17 @@ def test_tree_totals_have_one_row_per_node_in_every_round(spark, tmp_path, monke
     total = lambda b: sum(v) if (v := [value[i] for i, _ in b if value[i] is not None]) else None
     assert sorted(got) == [(x, total(b), max(k for _, k in b)) for x, b in sorted(below.items())]
     assert most <= 400
+
+
+def test_triangles_in_passes_make_no_wedge_rows(spark, monkeypatch):
+    edges = [*combinations(range(14), 2), *((99, x) for x in range(40)), (3, 1), (5, 5)]
+    want = {}
+    every = {tuple(sorted(e)) for e in edges if e[0] != e[1]}
+    for t in combinations([*range(40), 99], 3):
+        for x in t if all(e in every for e in combinations(t, 2)) else ():
+            want[x] = want.get(x, 0) + 1
+    monkeypatch.setattr(segments.ops, "WEDGES", 2)
+    rows = []
+    monkeypatch.setattr(segments.ops, "cut_lineage", lambda df, cut=segments.ops.cut_lineage: rows.append(df.count()) or cut(df))
+    assert {r[0]: r[1] for r in segments.ops.triangles(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()} == want
+    assert max(rows) <= len(every) and len(rows) > 5
